@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import exact_dedup, mixing, packing, quality, simhash
+from siltstone.llm import classifier, exact_dedup, mixing, packing, quality, simhash, url_filter
 from siltstone.llm.common import table
 
 
@@ -25,10 +25,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,11 +45,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_source_mix": op5_source_mix,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.sql(),
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_url_filter": url_filter.sql(),
 }
