@@ -60,10 +60,11 @@ class Scratch:
         self.count = 0
         self.places: dict[int, str] = {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self.count += 1
         place = f"{self.path}/t{self.count}"
-        df.write.option("compression", "zstd").parquet(place)
+        to = df.write.option("compression", "zstd")
+        (to.partitionBy(by) if by else to).parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
         self.places[id(out)] = place
         out._scratch_place = place

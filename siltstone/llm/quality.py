@@ -117,6 +117,17 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     return out.withColumn("base_failed", base_failed(m)).withColumn("kept", ~F.col("base_failed") & ~rejected(m, rules))
 
 
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that are kept, with their own columns.
+
+    The row number in the condition keeps the planner from moving the filter
+    below the measures, which would copy their expressions into it many times.
+    """
+    out = measure(df.drop("measures"), text).withColumn("_q_row", F.monotonically_increasing_id())
+    m = F.col("measures")
+    return out.filter(~base_failed(m) & ~rejected(m, rules) & (F.col("_q_row") >= 0)).select(*df.columns)
+
+
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB twin of the query, from the same table."""
     bad = ["n_words < %d" % MIN_WORDS, "100 * n_repeat_words > %d * n_words" % MAX_REPEAT_PERCENT]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import classifier, exact_dedup, mixing, packing, quality, simhash, url_filter
+from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, url_filter
 from siltstone.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_simhash": op9_simhash,
+    "op10_class_lm": op10_class_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
