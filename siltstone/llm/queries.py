@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, url_filter
+from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, substring, url_filter
 from siltstone.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_source_mix": op5_source_mix,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_class_lm": op10_class_lm,
 }
