@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, substring, url_filter
+from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, substring, training_order, url_filter
 from siltstone.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_source_mix": op5_source_mix,
+    "op6_training_order": op6_training_order,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
