@@ -1,4 +1,5 @@
 """Registered queries of the keyed-table engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from siltstone.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
