@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -11,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import scratch_root
+
 #: One run of the separators between words; everything else belongs to a word.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -35,18 +36,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary folder only in local mode without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
