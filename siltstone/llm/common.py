@@ -47,7 +47,6 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.places: dict[int, str] = {}
 
     def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self.count += 1
@@ -55,13 +54,13 @@ class Scratch:
         to = df.write.option("compression", "zstd")
         (to.partitionBy(by) if by else to).parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
-        self.places[id(out)] = place
         out._scratch_place = place
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            place = df._scratch_place
+    def drop(self, *tables: DataFrame, table_part: tuple[DataFrame, str] | None = None) -> None:
+        """Removes tables, and a partition of one, whose readers have all been written."""
+        places = [df._scratch_place for df in tables] + ([f"{table_part[0]._scratch_place}/{table_part[1]}"] if table_part else [])
+        for place in places:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -12,9 +12,11 @@ text.
 
 A subtree is kept as its sorted suffixes, cut at depth ``WINDOW``: neighbours
 that agree to that depth are the leaves of one deep internal node, and their
-windows are repeated. Subtrees of grams with more than ``HOT`` occurrences don't
-fit this: their suffixes are routed by a prefix of the full depth instead, and
-aggregated before they are shuffled.
+windows are repeated. Stretches that read alike are combined before they are
+shuffled, as a passage that many documents share gives the same ones again and
+again. A subtree of more than ``HOT`` different stretches, some 60 MB of
+suffixes, doesn't fit this: its suffixes are routed by a prefix of the full
+depth instead, and aggregated before they are shuffled.
 
 Documents with equal word sequences are one text here: if there are several,
 each of their windows starts elsewhere. Texts are known by 128 bits of the
@@ -28,7 +30,7 @@ table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 from itertools import groupby
 from operator import itemgetter
 from zlib import crc32
@@ -42,7 +44,7 @@ from siltstone.llm.common import SPACE_RUN, Scratch, map_batches, shuffle_partit
 
 WINDOW = 35
 GRAM = 5
-HOT = 2000
+HOT = 8000
 #: Words of a text that are handled at once; windows belong to the part where they start.
 PART = 4_000_000
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -119,21 +121,21 @@ def _places(key: str, start: str) -> list[Column]:
 
 
 SEVERAL = "k0 <> k1 OR s0 <> s1"
-_STRETCH = "h long, n long, key binary, first long, words binary"
+_STRETCH = "h long, id binary, key binary, first long, words binary"
 
 
 def stretches(texts: DataFrame, window: int) -> DataFrame:
-    """The words of each stretch, from the window that starts first to the end of the one that starts last."""
+    """The words of each stretch, from the window that starts first to the end of the one that starts last; id is their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
             for key, text, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                text = text.encode() if isinstance(text, str) else text
-                words = text.split(b" ")
+                words = text.encode().split(b" ")
                 for x in at:
-                    rows.append((x["h"], x["n"], key, x["first"], b" ".join(words[x["first"] : x["last"] + window])))
-                    size += len(rows[-1][4]) + 64
+                    part = b" ".join(words[x["first"] : x["last"] + window])
+                    rows.append((x["h"], blake2b(part, digest_size=16).digest(), key, x["first"], part))
+                    size += len(part) + 64
                 if size > 8_000_000:
                     yield told(rows)
                     rows, size = [], 0
@@ -141,8 +143,8 @@ def stretches(texts: DataFrame, window: int) -> DataFrame:
                 yield told(rows)
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["h", "n", "key", "first", "words"])
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["h", "id", "key", "first", "words"])
 
     return map_batches(texts, run, _STRETCH)
 
@@ -164,23 +166,30 @@ def deep_leaves(suffixes: list[tuple[bytes, object]]) -> list[object]:
     return out
 
 
-def subtrees(rows: DataFrame, window: int) -> DataFrame:
-    """key, first and mask: bit i of mask is set if the window at first + i is repeated. Rows are clustered by h."""
+_MASK = "h long, id binary, mask long"
+
+
+def subtrees(types: DataFrame, window: int) -> DataFrame:
+    """h, id and mask: bit i of mask is set if window i of the stretch is repeated.
+
+    Rows (h, id, words, several) are clustered by h; ``several`` stretches have
+    several places, so that all their windows are repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat() -> Iterator[tuple]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 5000):
-                    yield from zip(*(batch.column(i).slice(at, 5000).to_pylist() for i in (0, 2, 3, 4)), strict=True)
+                    yield from zip(*(c.slice(at, 5000).to_pylist() for c in batch.columns), strict=True)
 
         out = []
-        for _, group in groupby(flat(), key=itemgetter(0)):
-            some = list(group)
-            suffixes = [(w, (i, k)) for i, x in enumerate(some) for k, w in enumerate(windows_of(x[3], window))]
-            masks = [0] * len(some)
-            for i, k in deep_leaves(suffixes):
-                masks[i] |= 1 << k
-            out += [(x[1], x[2], m) for x, m in zip(some, masks, strict=True) if m]
+        for h, group in groupby(flat(), key=itemgetter(0)):
+            some = [(id_, windows_of(words, window), several) for _, id_, words, several in group]
+            masks = [(1 << len(w)) - 1 if several else 0 for _, w, several in some]
+            if len(some) > 1:
+                for i, k in deep_leaves([(w, (i, k)) for i, x in enumerate(some) for k, w in enumerate(x[1])]):
+                    masks[i] |= 1 << k
+            out += [(h, x[0], m) for x, m in zip(some, masks, strict=True) if m]
             if len(out) > 20_000:
                 yield told(out)
                 out = []
@@ -188,26 +197,26 @@ def subtrees(rows: DataFrame, window: int) -> DataFrame:
             yield told(out)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
-        key, first, mask = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.int64()), pa.array(mask, pa.int64())], ["key", "first", "mask"])
+        h, id_, mask = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(id_, pa.binary()), pa.array(mask, pa.int64())], ["h", "id", "mask"])
 
-    return map_batches(rows, run, "key binary, first long, mask long")
+    return map_batches(types, run, _MASK)
 
 
-def full_depth(rows: DataFrame, window: int) -> DataFrame:
-    """The same for grams with many occurrences, by whole windows."""
+def full_depth(types: DataFrame, window: int) -> DataFrame:
+    """The same for subtrees of many stretches, by whole windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                found = [(k, f + i, w) for k, f, t in zip(*(batch.column(i).slice(at, 2000).to_pylist() for i in (2, 3, 4)), strict=True) for i, w in enumerate(windows_of(t, window))]
-                key, first, words = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.int64()), pa.array(words, pa.binary())], ["key", "first", "words"])
+                found = [(h, id_, k, w, several) for h, id_, words, several in zip(*(c.slice(at, 2000).to_pylist() for c in batch.columns), strict=True) for k, w in enumerate(windows_of(words, window))]
+                h, id_, k, words, several = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(id_, pa.binary()), pa.array(k, pa.int32()), pa.array(words, pa.binary()), pa.array(several, pa.bool_())], ["h", "id", "k", "words", "several"])
 
-    s = Scratch(rows.sparkSession, "hot-windows")
-    each = s.save(map_batches(rows, run, "key binary, first long, words binary"))
-    several = s.save(each.groupBy("words").agg(*_places("key", "first")).filter(SEVERAL).select("words"))
-    return each.join(several, "words").select("key", "first", F.lit(1).cast("long").alias("mask"))
+    s = Scratch(types.sparkSession, "hot-windows")
+    each = s.save(map_batches(types, run, "h long, id binary, k int, words binary, several boolean"))
+    repeated = s.save(each.groupBy("words").agg(*_places("id", "k"), F.bool_or("several").alias("several")).filter(f"several OR {SEVERAL}").select("words"))
+    return each.join(repeated, "words").groupBy("h", "id").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -221,17 +230,21 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     rows = table.filter("kind = 0").select("doc_id", "key", "sha", "n")
     copies = s.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")).filter(f"rows > 1 AND n >= {window}").select("key", F.col("n").alias("n_removed")))
     marks = table.filter("kind = 1").select("key", "h", "first", "last")
-    grams = s.save(marks.groupBy("h").agg(*_places("key", "first"), F.count(F.lit(1)).alias("n")).filter(SEVERAL).select("h", "n"))
-    hits = marks.join(grams, "h").groupBy("key").agg(F.collect_set(F.struct("h", "n", "first", "last")).alias("at"))
+    grams = s.save(marks.groupBy("h").agg(*_places("key", "first")).filter(SEVERAL).select("h"))
+    hits = marks.join(grams, "h").groupBy("key").agg(F.collect_set(F.struct("h", "first", "last")).alias("at"))
     text = words_text()
     own = docs.select(text.alias("text")).filter(F.length("text") >= 2 * window - 1).select(text_key(F.col("text")).alias("key"), "text")
     # copies are combined before the shuffle that the join then uses
     texts = s.save(own.dropDuplicates(["key"]).join(hits, "key").select("key", "text", "at"))
+    s.drop(grams, table_part=(table, "kind=1"))
     parts = s.save(stretches(texts, window))
-    n = shuffle_partitions(spark)
-    small = parts.filter(F.col("n") <= hot).repartition(n, "h").sortWithinPartitions("h")
-    masks = subtrees(small, window).unionByName(full_depth(parts.filter(F.col("n") > hot), window))
+    types = s.save(parts.groupBy("h", "id").agg(F.first("words").alias("words"), *_places("key", "first")).select("h", "id", "words", F.expr(SEVERAL).alias("several")))
+    big = s.save(types.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h"))
+    small = types.join(big, "h", "left_anti").repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
+    masks = subtrees(small, window).unionByName(full_depth(types.join(big, "h", "left_semi"), window))
+    masks = parts.select("h", "id", "key", "first").join(masks, ["h", "id"]).select("key", "first", "mask")
     masks = s.save(masks.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("marks")))
+    s.drop(parts, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

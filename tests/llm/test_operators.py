@@ -1,0 +1,397 @@
+"""Each operator against a brute-force version, over rows with all the odd cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, substring, tokens, training_order, url_filter
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def by_row(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# -- packing
+
+
+def test_packing_round_trip(docs, no_docs, rows):
+    found = packing.pack(docs, window=64).collect()
+    whole, total = defaultdict(list), Counter()
+    for r in found:
+        assert r["length"] * 4 == len(r["ids"]) and 1 <= r["length"] <= 64
+        whole[r["doc_id"], r["doc_tokens"]].append((r["start"], bytes(r["ids"])))
+        total[r["sequence_id"]] += r["length"]
+    at = defaultdict(list)
+    for r in found:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in at.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 64
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    wanted, got = Counter(), Counter()
+    for i, t, _ in rows:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        for a in range(0, len(ids), 64):
+            wanted[i, a, np.array(ids[a : a + 64], "<u4").tobytes()] += 1
+    for r in found:
+        got[r["doc_id"], r["start"], bytes(r["ids"])] += 1
+    assert got == wanted
+    assert sum(total.values()) / 64 / len(total) > 0.9
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_best_fit_is_tightest():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 65, 500).tolist()
+    placed = packing.best_fit_decreasing(lengths, 64)
+    room, expected = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        fits = [r for r in room if r >= lengths[i]]
+        expected[i] = min(fits, default=64)
+        if fits:
+            room.remove(min(fits))
+        room.append(expected[i] - lengths[i])
+    assert sorted(64 - o for _, o in placed) == sorted(expected)
+    assert packing.best_fit_decreasing([], 64) == []
+
+
+# -- quality
+
+
+def brute_quality(text):
+    w, t = words(text), text or ""
+    places = defaultdict(list)
+    for i in range(len(w) - 2):
+        places[tuple(w[i : i + 3])].append(i)
+    covered = {i + k for p in places.values() if len(p) > 1 for i in p for k in range(3)}
+    lines = [x for x in t.split("\n") if words(x)]
+    n = len(w)
+    symbols, dup = sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
+    chars, stops = sum(map(len, w)), sum(x in quality.STOP_WORDS for x in w)
+    failed = n < 50 or 100 * len(covered) > 50 * n
+    bad = 100 * chars < 200 * n or 100 * chars > 2000 * n or 100 * symbols > 30 * n or 100 * t.count("!") > 50 * n or 100 * stops < 2 * n or 100 * dup > 60 * len(lines)
+    return n, chars, symbols, dup, len(covered), failed, not failed and not bad
+
+
+def test_quality_rules(docs, no_docs, rows):
+    m = [F.col(f"measures.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    found = by_row(quality.judge(docs).select("doc_id", *m, "base_failed", "kept"))
+    assert found == sorted(((i, *brute_quality(t)) for i, t, _ in rows), key=repr)
+    assert quality.judge(no_docs).count() == 0
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns
+    assert by_row(kept.select("doc_id", "text")) == sorted(((i, t) for i, t, _ in rows if brute_quality(t)[-1]), key=repr)
+
+
+def test_good_prose_is_kept(spark):
+    text = " ".join(f"the {x} of a thing and word{x} in it" for x in range(30))
+    junk = " ".join(f"word{x}$$$ the%%%" for x in range(60))
+    kept = {r["t"]: r["kept"] for r in quality.judge(spark.createDataFrame([("p", text), ("j", junk)], "t string, text string")).collect()}
+    assert kept == {"p": True, "j": False}
+
+
+# -- exact dedup
+
+
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[SPACE.sub(" ", t or "")].append(i)
+    out = []
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        sha = hashlib.sha256(t.encode()).hexdigest()
+        out += [(i, min(known, default=None), len(ids), sha) for i in ids]
+    return sorted(out, key=repr), {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+
+
+@pytest.mark.parametrize(("block", "bits"), [(4096, 64), (16, 64), (16, 3)])
+def test_exact_dedup(docs, rows, block, bits):
+    expected, first = brute_exact(rows)
+    found = exact_dedup.dedup(docs, block, bits)
+    assert by_row(found.drop("kept")) == expected
+    kept = found.filter("kept").collect()
+    assert len(kept) == len(first) == len({r["text_sha256"] for r in kept})
+    assert all(r["doc_id"] == r["keep_id"] for r in kept)
+
+
+def test_exact_dedup_stage(docs, no_docs, rows):
+    _, first = brute_exact(rows)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((SPACE.sub(" ", r["text"] or ""), r["doc_id"]) for r in kept.collect()) == sorted(first.items())
+    assert exact_dedup.dedup(no_docs).count() == 0 and exact_dedup.keep_first(no_docs).count() == 0
+
+
+# -- url filter
+
+
+def test_url_filter(spark):
+    urls = [None, "", "nothing", "://", "HTTP://WWW.Example.NET/en/x?q#f", "http://example.net/de/", "x://a.example.com/de/1#t", "x://example.com.evil/de/", "x://notexample.com/de/1", "x://b.org/fr/", "x://b.org/fr", "x://org/fr/a?b", "x://h.net", "x://h.net?/en/", "http://a/b://c/d", "http://ÀB.net/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(4, urls[4], "h")], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(None, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, labels).collect()}
+    assert found[0] == found[1] == found[2] == ("", "", None, "allow")
+    assert found[4] == ("www.example.net", "/en/x", "example.net/en/", "allow")
+    assert found[5] == ("example.net", "/de/", "net/", "block")
+    assert found[6][2:] == ("example.com/de/", "block")
+    assert found[7][2] is None and found[8][2] is None
+    assert found[9][2:] == ("org/fr/", "allow") and found[10][2] is None and found[11][2] == "org/fr/"
+    assert found[12] == ("h.net", "", None, "allow") and found[13][1] == ""
+    assert found[14] == ("a", "/b://c/d", None, "allow")
+    assert found[15][0] == "Àb.net"
+    assert url_filter.judge(pages, labels).count() == len(urls) + 1
+    assert url_filter.judge(pages.limit(0), labels.limit(0)).count() == 0
+    assert url_filter.judge(pages, labels.limit(0)).filter("rule IS NULL AND verdict <> 'allow'").count() == 0
+
+
+def test_reputation_shrinks(spark):
+    counts = [("bad.spam.com", 200, 190), ("new.spam.com", 2, 2), ("one.spam.com", 100, 96), ("good.site.com", 300, 6), ("new.site.com", 2, 2), ("fine.other.org", 500, 20)]
+    rep = {r["host"]: r for r in url_filter.reputation(spark.createDataFrame(counts, "host string, n long, k long")).collect()}
+    assert rep["bad.spam.com"]["lower"] > 0.8 and rep["good.site.com"]["mean"] < 0.1
+    assert rep["new.spam.com"]["mean"] > rep["new.site.com"]["mean"] + 0.1
+
+
+# -- mixing
+
+
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, free, left = {}, set(names), float(sum(sizes.values()))
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s] + 1e-9]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            free.remove(s)
+    return target
+
+
+def test_mixing(docs, no_docs, rows):
+    found = mixing.mix(docs).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    target = brute_targets(sizes)
+    source = {(i, len(words(t))): s for i, t, s in rows}
+    taken, largest = Counter(), Counter()
+    for r in found:
+        s = source[r["doc_id"], r["size"]]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6
+        assert r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in sizes)
+    assert by_row(mixing.mix(docs)) == sorted((tuple(r) for r in found), key=repr)
+    assert mixing.mix(no_docs).count() == 0 and mixing.take(no_docs).count() == 0
+    many = mixing.take(docs)
+    assert many.columns == docs.columns
+    assert sum(len(words(r["text"])) for r in many.collect()) == sum(taken.values())
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1, "b": 1000, "c": 5, None: 2}, {"a": 0, "b": 0}, {"a": 7}, {chr(97 + i): 3**i for i in range(9)}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    expected = brute_targets(sizes)
+    assert found.keys() == expected.keys() and all(abs(found[s] - expected[s]) < 1e-6 for s in found)
+
+
+def test_mixing_meets_targets(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(0), F.col("id") % 50)).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    sums = mixing.mix(docs).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"))
+    assert all(abs(r["t"] - r["g"]) <= 50 for r in sums.collect())
+
+
+# -- training order
+
+
+def test_training_order(spark, docs, no_docs, tmp_path):
+    for n in (1, 2, 3, 100, 4097):
+        assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
+    place = f"file://{tmp_path}/order"
+    about = training_order.materialise(docs, place, window=32, shard=10)
+    found = training_order.records(spark, place, about).orderBy("slot").collect()
+    assert [r["slot"] for r in found] == list(range(about["sequences"]))
+    assert all(r["offset"] == r["slot"] % 10 * 65 and len(r["data"]) == 64 for r in found)
+    plain = Counter(bytes(x) for r in training_order.sequences(docs, tokens.default_path(), 32, 2).collect() for x in [__import__("zstandard").ZstdDecompressor().decompress(bytes(r["data"]))])
+    assert Counter(bytes(r["data"]) for r in found) == plain
+    assert training_order.records(spark, place, about, first=13).count() == about["sequences"] - 13
+    assert training_order.training_order(no_docs).count() == 0
+
+
+# -- classifier
+
+
+def test_classifier(spark, docs, no_docs, rows):
+    good = [(i, " ".join(f"plain{(i * k) % 50} text" for k in range(1, 40)), 1) for i in range(300)]
+    bad = [(i, " ".join(f"junk{(i * k) % 50}$$$ !!" for k in range(1, 40)), 0) for i in range(300, 400)]
+    table = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    labels = table.select("doc_id", "quality").union(spark.createDataFrame([(None, 1), (5, None), (9999, 1)], "doc_id long, quality int"))
+    found = classifier.classify(table.drop("quality"), labels).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
+    assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found)
+    held = [r for r in found if r["held_out"]]
+    assert held and all((r["score"] > 0.5) == (r["doc_id"] < 300) for r in held)
+    assert [r["score"] for r in classifier.classify(table.drop("quality"), labels).orderBy("doc_id").collect()] == [r["score"] for r in sorted(found, key=lambda r: r["doc_id"])]
+    odd = classifier.classify(docs, labels).collect()
+    assert len(odd) == len(rows) and all(0 <= r["score"] <= 1 for r in odd)
+    assert classifier.classify(no_docs, labels).count() == 0
+    assert {r["score"] for r in classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+# -- substring dedup
+
+
+def brute_substring(rows, window):
+    texts = [(i, words(t)) for i, t, _ in rows]
+    count = Counter(tuple(w[s : s + window]) for _, w in texts for s in range(len(w) - window + 1))
+    out = []
+    for i, w in texts:
+        gone = set()
+        for s in range(len(w) - window + 1):
+            if count[tuple(w[s : s + window])] > 1:
+                gone.update(range(s, s + window))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("window", "hot"), [(35, 8000), (10, 8000), (10, 1)])
+def test_substring_dedup(docs, rows, window, hot):
+    assert by_row(substring.substring_dedup(docs, window, hot=hot)) == brute_substring(rows, window)
+
+
+def test_substring_of_nothing(no_docs):
+    assert substring.substring_dedup(no_docs).count() == 0
+
+
+def test_spans(spark):
+    w = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(w[:60])), (2, " ".join(["x", *w[10:50], "y"]))], "doc_id long, text string")
+    _, found = substring.removed(docs)
+    assert sorted([(s["start"], s["end"]) for s in r["spans"]] for r in found.collect()) == [[(1, 41)], [(10, 50)]]
+
+
+# -- SimHash
+
+
+def brute_fingerprint(text):
+    w = [x.encode().lower().decode() for x in words(text)]
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def brute_components(rows, fps):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                root[find(a)] = find(b)
+    members = defaultdict(list)
+    for i in range(len(fps)):
+        members[find(i)].append(rows[i][0])
+    least = {r: min((m for m in ms if m is not None), default=None) for r, ms in members.items()}
+    return [least[find(i)] for i in range(len(fps))]
+
+
+def test_simhash(docs, no_docs, rows):
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    expected = [(r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, brute_components(rows, fps), strict=True)]
+    assert by_row(simhash.near_dedup(docs)) == sorted(expected, key=repr)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    known = {c for c in (e[2] for e in expected) if c is not None}
+    assert {r["doc_id"] for r in kept.collect()} - {None} == known
+    assert kept.filter("doc_id IS NOT NULL").count() == len(known)
+    assert simhash.near_dedup(no_docs).count() == 0 and simhash.keep_first(no_docs).count() == 0
+
+
+def test_links_lose_none(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    fps = set(map(int, base))
+    for b in base[:30]:
+        for n in (1, 2, 3, 4):
+            fps.add(int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)))
+    some = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    found = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in some], "fp long")).collect()}
+    assert found == {(a, b) for i, b in enumerate(some) for a in some[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    assert simhash.links(spark.createDataFrame([(x,) for x in some], "fp long")).count() == len(found)
+
+
+def test_components_of_a_chain(spark):
+    from siltstone.llm.common import Scratch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (150, 200)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in simhash.components(edges, Scratch(spark, "chain")).collect()}
+    assert roots == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
+
+
+# -- LM scoring
+
+
+def test_lm(docs, no_docs, rows):
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [(i, [w.encode().lower() for w in words(t)]) for i, t, _ in rows]
+    count, ends = Counter(), 0
+    for i, w in texts:
+        if not held(i):
+            count.update(w)
+            ends += 1
+    n, v = sum(count.values()) + ends, len(count) + 1
+    expected = []
+    for i, w in texts:
+        c = [count[x] for x in w] + [ends]
+        expected.append((i, held(i), len(c), sum(x > 0 for x in c), n, round(sum(math.log10((x + 1) / (n + v + 1)) for x in c), 6)))
+    found = lm.score(docs)
+    assert sorted(((*tuple(r)[:5], round(r["base_score"], 6)) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in found.collect())
+    assert lm.score(no_docs).count() == 0
+
+
+def test_exchange_finds_classes():
+    rng = np.random.default_rng(3)
+    n = np.zeros((21, 21))
+    for _ in range(20_000):  # words 0-9 are followed by 10-19, and those by 0-9
+        a = rng.integers(0, 10)
+        n[a, 10 + rng.integers(0, 10)] += 1
+        n[10 + rng.integers(0, 10), a] += 1
+    of = lm.exchange(n, classes=2)
+    assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 2
+
+
+def test_model_is_a_distribution():
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 30, (12, 12)).astype(float)
+    model = lm.fit(pairs, np.r_[np.ones(11, int), 0], [], classes=3)
+    assert np.allclose(model.transition.sum(1), 1, atol=0.02)

@@ -1,0 +1,39 @@
+import os
+
+import pytest
+from oracle import DATA, compare
+
+import corpus_pipeline
+from siltstone.llm import queries
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_twin(spark, name):
+    compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_pipeline(spark, docs, tmp_path):
+    from test_operators import brute_components, brute_exact, brute_fingerprint, brute_quality
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = docs
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        place = f"{tmp_path}/{name}"
+        now.write.parquet(place)
+        now = spark.read.parquet(place)
+        seen[name] = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=repr)
+    every = [(r["doc_id"], r["text"], None) for r in docs.collect()]
+    good = [r for r in every if brute_quality(r[1])[-1]]
+    assert seen["quality_rules"] == sorted(((i, t) for i, t, _ in good), key=repr)
+    _, first = brute_exact(good)
+    assert sorted((i for i, _ in seen["exact_dedup"]), key=repr) == sorted(first.values(), key=repr)
+    rows = [(i, t, None) for i, t in seen["exact_dedup"]]
+    components = brute_components(rows, [brute_fingerprint(t) for _, t, _ in rows])
+    assert {i for i, _ in seen["simhash_near_dedup"]} == set(components)
+    assert {i for i, _ in seen["source_mix"]} <= {i for i, _ in seen["simhash_near_dedup"]}
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in last.collect()} == {i for i, _ in seen["source_mix"]}
