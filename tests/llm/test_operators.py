@@ -102,7 +102,7 @@ def test_quality_rules(docs, no_docs, rows):
 
 
 def test_good_prose_is_kept(spark):
-    text = " ".join(f"the {x} of a thing and word{x} in it" for x in range(30))
+    text = " ".join(f"the thing{x} of a place{x} and word{x}" for x in range(30))
     junk = " ".join(f"word{x}$$$ the%%%" for x in range(60))
     kept = {r["t"]: r["kept"] for r in quality.judge(spark.createDataFrame([("p", text), ("j", junk)], "t string, text string")).collect()}
     assert kept == {"p": True, "j": False}
