@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.codec import entry_size
 from siltstone.schema import KeyRange
+from siltstone.sources.scratch import stored
 
 
 def get(state: DataFrame, key: object, column: str = "key") -> DataFrame:
@@ -33,13 +34,15 @@ def ranked(state: DataFrame, keys: KeyRange, column: str = "key") -> DataFrame:
     """A range with each row's position in key order, counted from 1.
 
     A range-partitioned sort numbers rows within partitions and adds the counts
-    of those before; no single task sees all rows.
+    of those before; no single task sees all rows. The numbered rows are stored,
+    as a second sort need not cut the partitions at the same keys.
     """
     part = state.filter(keys.predicate(F.col(column))).orderBy(column).withColumn("_id", F.monotonically_increasing_id())
     local = part.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft(F.col("_part"), 33) + 1)
+    local = stored(local.drop("_id"), "ranked")
     counts = local.groupBy("_part").agg(F.max("_at").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    return local.join(before, "_part").withColumn("position", F.col("_before") + F.col("_at")).drop("_id", "_part", "_at", "_before")
+    return local.join(before, "_part").withColumn("position", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def length(state: DataFrame) -> DataFrame:
