@@ -109,8 +109,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
     _, plan = thresholds(docs, weights, most)
-    p = plan.select(F.col("source").alias("_of"), F.struct("copies", "boundary", "shift", "lower", "included").alias("_plan"))
-    n = F.col("_plan.copies") + F.coalesce((F.col("_h") < F.col("_plan.lower")) | (F.col("_plan.included") & (F.expr("shiftright(_h, _plan.shift)") == F.col("_plan.boundary"))), F.lit(False)).cast("long")
-    own = docs.withColumn("_h", row_hash())
-    joined = own.join(p, F.col("source").cast("string").eqNullSafe(F.col("_of")), "left").withColumn("_n", n.cast("int")).filter("_n > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    p = plan.select(F.col("source").alias("__of"), F.struct("copies", "boundary", "shift", "lower", "included").alias("__plan"))
+    n = F.col("__plan.copies") + F.coalesce((F.col("__h") < F.col("__plan.lower")) | (F.col("__plan.included") & (F.expr("shiftright(__h, __plan.shift)") == F.col("__plan.boundary"))), F.lit(False)).cast("long")
+    own = docs.withColumn("__h", row_hash())
+    joined = own.join(p, F.col("source").cast("string").eqNullSafe(F.col("__of")), "left").withColumn("__n", n.cast("int")).filter("__n > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

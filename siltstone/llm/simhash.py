@@ -171,7 +171,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all its columns."""
     _, classes, s = groups(docs)
-    kept = s.save(classes.select(F.col("first.doc_id").alias("_near_id"), F.col("first.key").alias("_near_key")).distinct())
-    own = docs.withColumn("_near_key", F.xxhash64(text_of())).withColumn("_near_id", F.col("doc_id").cast("long"))
-    same = own["_near_id"].eqNullSafe(kept["_near_id"]) & (own["_near_key"] == kept["_near_key"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["_near_id", "_near_key"]).select(*docs.columns)
+    kept = s.save(classes.select(F.col("first.doc_id").alias("__near_id"), F.col("first.key").alias("__near_key")).distinct())
+    own = docs.withColumn("__near_key", F.xxhash64(text_of())).withColumn("__near_id", F.col("doc_id").cast("long"))
+    same = own["__near_id"].eqNullSafe(kept["__near_id"]) & (own["__near_key"] == kept["__near_key"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["__near_id", "__near_key"]).select(*docs.columns)
