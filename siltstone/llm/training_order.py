@@ -1,18 +1,23 @@
 """Training-order materialisation: token ids in fixed-stride shards.
 
 Texts become one stream of ids per task, cut into sequences of ``WINDOW`` ids.
-Every sequence has an index; a keyed Feistel network on the next even power of
-two, walked along its cycles until it lands below the number of sequences, is a
-permutation of the indices and gives each sequence its global slot. Slots are
-range-partitioned into shards of ``SHARD`` slots. A shard is one file of
-records with a fixed stride: the ids as little-endian 16-bit (or 32-bit)
-numbers and one closing byte. Record i of shard k is slot ``k * SHARD + i`` and
-starts at byte ``i * stride``, so a reader at any slot needs no index and reads
-on sequentially, and a run resumes at the slot where it stopped.
-
-Sequences are kept compressed up to the shards. Their order depends on the key
-and the index alone. Files go through Spark's own writer, so any store that
-Spark writes to will do, with its commit protocol and task retries.
+A sequence is numbered by its task and its place there, below ``DOMAIN``. A
+keyed Feistel network on the next even power of two, walked along its cycles
+until it lands below ``DOMAIN``, permutes these numbers; the sequences in the
+order of their permuted numbers have the global slots 0, 1, 2 and so on.
+
+Shards are equal ranges of permuted numbers, so they hold nearly the same
+number of sequences each, and a sequence goes to its shard as it is made: texts
+are tokenised once, and compressed sequences cross the network once. A shard is
+one file of records with a fixed stride, sorted by permuted number: the ids as
+little-endian 16-bit (or 32-bit) numbers and one closing byte. The manifest has
+the first slot of every shard, from the files' lengths. Record i of a shard is
+slot ``first + i`` and starts at byte ``i * stride``, so a reader at any slot
+seeks once and reads on, and a run resumes at the slot where it stopped.
+
+The order depends on the key and on how the input is split into tasks, which
+the files and the session's settings fix. Files go through Spark's own writer,
+so any store that Spark writes to will do, with its commit protocol and retries.
 
 Edge cases: null and empty texts give the end id alone; the last sequence of a
 task is filled with the end id; repeated rows are repeated; an empty table gives
@@ -25,17 +30,20 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.common import Scratch, map_batches, text_of
 
 WINDOW = 2048
-SHARD = 4096
+#: Bytes of text to a shard; its records take about as much again.
+SHARD_BYTES = 16 << 20
+PLACES = 1 << 36
+#: A million tasks of 2 ** 36 sequences.
+DOMAIN = 1_000_000 * PLACES
 KEY = 0x5EED
 ROUNDS = 6
 
@@ -65,92 +73,101 @@ def feistel(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, window: int, width: int) -> DataFrame:
-    """part, place (in the part), n_tokens and data (compressed ids) of each sequence."""
+def sequences(docs: DataFrame, path: str, window: int, width: int, shards: int, key: int) -> DataFrame:
+    """shard, number (permuted), n_tokens and data (compressed ids) of each sequence."""
+    each = -(-DOMAIN // shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdCompressor
 
         press = ZstdCompressor(level=3).compress
-        part, place, size = TaskContext.get().partitionId(), 0, 4 * window
+        made, size = TaskContext.get().partitionId() * PLACES, 4 * window
         end = np.array([tokens.END_ID], "<u4").tobytes()
-        rest, rows = b"", []
+        rows: list[tuple[int, bytes]] = []
 
-        def row(data: bytes, n: int) -> tuple:
-            return part, place, n, press(np.frombuffer(data, "<u4").astype(f"<u{width}").tobytes())
+        def packed(data: bytes) -> bytes:
+            return press(np.frombuffer(data, "<u4").astype(f"<u{width}").tobytes())
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["part", "place", "n_tokens", "data"])
+            n = len(rows)
+            number = feistel(np.arange(made - n, made, dtype=np.uint64), DOMAIN, key)
+            count, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array((number // each).astype(np.int32)), pa.array(number), pa.array(count, pa.int32()), pa.array(data, pa.binary())], ["shard", "number", "n_tokens", "data"])
 
-        held, bytes_held = [], 0
+        held, waiting = [], 0
         for _, data in tokens.encoded(batches, path):
             held.append(data)
-            bytes_held += len(data)
-            if bytes_held >= size:
-                rest, full = b"".join(held), bytes_held // size
-                for i in range(full):
-                    rows.append(row(rest[i * size : (i + 1) * size], window))
-                    place += 1
-                held, bytes_held = [rest[full * size :]], bytes_held - full * size
+            waiting += len(data)
+            if waiting >= size:
+                stream, full = b"".join(held), waiting // size
+                rows += [(window, packed(stream[i * size : (i + 1) * size])) for i in range(full)]
+                made += full
+                held, waiting = [stream[full * size :]], waiting - full * size
             if len(rows) >= 500:
                 yield told()
                 rows = []
-        if bytes_held:
+        if waiting:
             data = b"".join(held)
-            rows.append(row(data + end * (window - len(data) // 4), len(data) // 4))
+            rows.append((len(data) // 4, packed(data + end * (window - len(data) // 4))))
+            made += 1
         if rows:
             yield told()
 
-    return map_batches(docs.select("doc_id", text_of().alias("text")), run, "part int, place long, n_tokens int, data binary")
+    return map_batches(docs.select("doc_id", text_of().alias("text")), run, "shard int, number long, n_tokens int, data binary")
 
 
-def slot_of(index: Column, size: int, key: int) -> Column:
-    @F.pandas_udf("long")
-    def slot(x: pd.Series) -> pd.Series:
-        return pd.Series(feistel(x.to_numpy(np.int64), size, key))
-
-    return slot(index)
-
-
-def materialise(docs: DataFrame, place: str, path: str | None = None, window: int = WINDOW, shard: int = SHARD, key: int = KEY, width: int = 2) -> dict:
-    """Writes the shards below ``place`` and returns their description, which is written beside them."""
+def materialise(docs: DataFrame, place: str, path: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, key: int = KEY, width: int = 2) -> dict:
+    """Writes the shards and their manifest below ``place`` and returns what describes them, which is written beside them."""
     spark = docs.sparkSession
-    s = Scratch(spark, "sequences")
-    rows = s.save(sequences(docs, path or tokens.default_path(), window, width))
-    # a row per task
-    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    size = rows.count()
-    about = {"sequences": size, "window": window, "shard": shard, "width": width, "stride": stride_of(window, width), "key": key}
-    if size:
-        numbered = rows.join(parts, "part").select((F.col("base") + F.col("place")).alias("index"), "data")
-        placed = numbered.select(slot_of(F.col("index"), size, key).alias("slot"), "data").withColumn("shard", F.floor(F.col("slot") / shard))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from zstandard import ZstdDecompressor
-
-            open_ = ZstdDecompressor().decompress
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    of, slot, data = (c.slice(at, 500) for c in batch.columns)
-                    yield pa.RecordBatch.from_arrays([of, slot, pa.array([open_(x) for x in data.to_pylist()], pa.binary())], ["shard", "slot", "data"])
-
-        ranged = placed.select("shard", "slot", "data").repartitionByRange(-(-size // shard), "shard")
-        records = map_batches(ranged, run, "shard long, slot long, data binary").sortWithinPartitions("shard", "slot")
-        # the cast keeps the bytes as they are, and the text writer writes them and the separator
-        records.select("shard", F.col("data").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{place}/shards")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
+    shards = max(1, -(-size // shard_bytes))
+    made = sequences(docs, path or tokens.default_path(), window, width, shards, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        open_ = ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                shard, number, data = (c.slice(at, 500) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([shard, number, pa.array([open_(x) for x in data.to_pylist()], pa.binary())], ["shard", "number", "data"])
+
+    # a shard to a partition
+    ranged = made.select("shard", "number", "data").repartitionById(shards, F.col("shard"))
+    records_ = map_batches(ranged, run, "shard int, number long, data binary").sortWithinPartitions("shard", "number")
+    # the cast keeps the bytes as they are, and the text writer writes them and the separator
+    records_.select("shard", F.col("data").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{place}/shards")
+    stride = stride_of(window, width)
+    found = _files(spark, place)
+    n = 0
+    if found is not None:
+        # a row per shard; only lengths are read
+        counts = found.select("shard", (F.col("length") / stride).cast("long").alias("records"))
+        manifest = counts.withColumn("first", F.sum("records").over(Window.orderBy("shard")) - F.col("records"))
+        manifest.coalesce(1).write.parquet(f"{place}/manifest")
+        n = spark.read.parquet(f"{place}/manifest").agg(F.sum("records")).first()[0]
+    about = {"sequences": n, "shards": shards, "window": window, "width": width, "stride": stride, "key": key}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{place}/about")
-    s.drop(rows)
     return about
 
 
+def _files(spark: SparkSession, place: str) -> DataFrame | None:
+    """The shard files, or None if there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/shards/shard=*")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        return None
+    return spark.read.format("binaryFile").load(f"{place}/shards")
+
+
 def records(spark: SparkSession, place: str, about: dict, first: int = 0) -> DataFrame:
     """shard, slot, offset and data of the records from slot ``first`` on."""
-    if not about["sequences"]:
-        return spark.createDataFrame([], "shard long, slot long, offset long, data binary")
+    files = _files(spark, place)
+    if files is None:
+        return spark.createDataFrame([], "shard int, slot long, offset long, data binary")
     stride = about["stride"]
-    files = spark.read.format("binaryFile").load(f"{place}/shards").filter(F.col("shard") >= first // about["shard"]).select(F.col("shard").cast("long"), "content")
-    each = files.select("shard", "content", F.explode(F.sequence(F.lit(0), (F.octet_length("content") / stride).cast("int") - 1)).alias("i"))
-    slot = F.col("shard") * about["shard"] + F.col("i")
+    manifest = spark.read.parquet(f"{place}/manifest").filter(F.col("first") + F.col("records") > first)
+    each = files.select("shard", "content").join(manifest, "shard").select("shard", "content", "first", F.explode(F.sequence(F.lit(0), (F.col("records") - 1).cast("int"))).alias("i"))
+    slot = F.col("first") + F.col("i")
     return each.filter(slot >= first).select("shard", slot.alias("slot"), (F.col("i") * F.lit(stride).cast("long")).alias("offset"), F.substring(F.col("content"), F.col("i") * stride + 1, F.lit(stride - 1)).alias("data"))
 
 

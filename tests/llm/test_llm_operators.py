@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, substring, tokens, training_order, url_filter
@@ -232,13 +233,21 @@ def test_training_order(spark, docs, no_docs, tmp_path):
     for n in (1, 2, 3, 100, 4097):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
     place = f"file://{tmp_path}/order"
-    about = training_order.materialise(docs, place, window=32, shard=10)
+    about = training_order.materialise(docs, place, window=32, shard_bytes=4000)
     found = training_order.records(spark, place, about).orderBy("slot").collect()
-    assert [r["slot"] for r in found] == list(range(about["sequences"]))
-    assert all(r["offset"] == r["slot"] % 10 * 65 and len(r["data"]) == 64 for r in found)
-    plain = Counter(bytes(x) for r in training_order.sequences(docs, tokens.default_path(), 32, 2).collect() for x in [__import__("zstandard").ZstdDecompressor().decompress(bytes(r["data"]))])
-    assert Counter(bytes(r["data"]) for r in found) == plain
-    assert training_order.records(spark, place, about, first=13).count() == about["sequences"] - 13
+    assert [r["slot"] for r in found] == list(range(about["sequences"])) and about["shards"] > 5
+    at = Counter()
+    for r in found:
+        assert r["offset"] == 65 * at[r["shard"]] and len(r["data"]) == 64
+        at[r["shard"]] += 1
+    made = training_order.sequences(docs, tokens.default_path(), 32, 2, about["shards"], about["key"]).orderBy("number").collect()
+    assert [bytes(r["data"]) for r in found] == [zstandard.decompress(bytes(r["data"])) for r in made]
+    assert len({r["number"] for r in made}) == len(made)
+    ids = b"".join(tokens.encoder(tokens.default_path()).encode((r["text"] or "").encode()) + b"\1\0\0\0" for r in docs.collect())
+    assert 0 <= 32 * len(found) - len(ids) // 4 < 32 * docs.rdd.getNumPartitions()
+    assert sum(r["n_tokens"] for r in made) == len(ids) // 4
+    half = training_order.records(spark, place, about, first=13).collect()
+    assert sorted((r["slot"], bytes(r["data"])) for r in half) == [(r["slot"], bytes(r["data"])) for r in found[13:]]
     assert training_order.training_order(no_docs).count() == 0
 
 

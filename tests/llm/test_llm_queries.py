@@ -14,7 +14,7 @@ def test_query_equals_its_twin(spark, name):
 
 
 def test_pipeline(spark, docs, tmp_path):
-    from test_operators import brute_components, brute_exact, brute_fingerprint, brute_quality
+    from test_llm_operators import brute_components, brute_exact, brute_fingerprint, brute_quality
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     now = docs
