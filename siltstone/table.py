@@ -196,6 +196,16 @@ class KeyedTable:
             raise errors.IntegrityCheckFailed(number)
         self.log.truncate(log_source.checkpoint_lsn(self.log.read(), number))
 
+    def latest_complete_segment(self) -> str | None:
+        """The newest live segment that verifies; damaged ones are passed over."""
+        for r in reversed(self.manifest.segments()):
+            try:
+                segment.verify(self.spark, r["segment_path"], r["entry_count"])
+            except errors.DurabilityError:
+                continue
+            return r["segment_path"]
+        return None
+
     def recover(self) -> KeyedTable:
         """A table as a new process finds it: live segments that verify, then the log's committed tail."""
         for r in self.manifest.segments():

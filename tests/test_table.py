@@ -179,6 +179,21 @@ def test_checkpoints_and_corruption(spark, table):
         segment.verify(spark, rotten, 2)
 
 
+def test_latest_complete_segment(spark, table, tmp_path):
+    import shutil
+
+    assert table.latest_complete_segment() is None
+    table.insert("a", b"1")
+    first = table.flush()
+    table.insert("b", b"2")
+    second = table.flush()
+    assert table.latest_complete_segment() == second
+    shutil.rmtree(second.removeprefix("file://"))
+    assert table.latest_complete_segment() == first
+    with pytest.raises(errors.IntegrityCheckFailed):
+        table.recover()
+
+
 def test_log_checksums(table):
     table.insert("a", b"1")
     table.remove("a")
