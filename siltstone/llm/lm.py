@@ -1,19 +1,24 @@
 """LM scoring with Brown class-based n-grams.
 
 Exchange clustering assigns words to classes: a word is moved to the class that
-most raises the likelihood of the class bigrams, again and again. The units it
-moves are the frequent words (each at least one token in ``RARE`` of the
-corpus, so at most ``RARE`` of them) and ``SHAPES`` sets of rarer words alike
-in ending and length, so every word has a class and the matrix of unit bigrams
-has a bounded size at any corpus size. A token's probability is the transition
+most raises the likelihood of the class bigrams, again and again. It is done in
+two steps. First the driver moves units until none moves: the frequent words
+(each at least one token in ``RARE`` of the corpus, so at most ``RARE`` of them)
+and ``SHAPES`` sets of rarer words alike in ending and length, a start for the
+others. The matrix of unit bigrams has a bounded size at any corpus size. Then
+every other training word, down to those that occur once, is moved by its own
+counts before and after its neighbours' classes: one parallel sweep in which the
+words see the classes of the first step. Words without training tokens have no
+counts and keep the class of their set. A token's probability is the transition
 between classes times the emission of the word from its class, interpolated
 with the add-one unigram.
 
 Counts cover every training token. Each task reads its documents into blocks
 with a vocabulary of bounded size, and tells per block: the documents as local
-word numbers, the vocabulary with counts, and the unit bigrams. Counts are
-summed by word, where a word has one row per block, so no word is hot, and go
-back to the blocks, where documents are scored. Texts themselves never move.
+word numbers, the vocabulary with counts and neighbouring units, and the unit
+bigrams. These are summed by word, where a word has one row per block, so no
+word is hot, and classes and counts go back to the blocks, where class bigrams
+are counted and documents coded for scoring. Texts themselves never move.
 
 Edge cases: null and empty texts have the end token alone; rows without doc_id
 are held out; without training documents V and N are 0 and every score is the
@@ -30,11 +35,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, map_batches, text_of
+from siltstone.llm.common import Scratch, map_batches, shuffle_partitions, text_of
 
 FOLDS, HELD = 7, 2
 RARE = 2000
@@ -104,9 +110,11 @@ def shape(word: bytes) -> int:
     return crc32(b"%d %b " % (min(len(word), 15) // 4, kind) + word[-2:]) % SHAPES
 
 
-_TABLE = "kind int, blk long, doc_id long, held_out boolean, tokens binary, lid int, word binary, n long, unit int"
-_FIELDS = pa.schema([("kind", pa.int32()), ("blk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("lid", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("unit", pa.int32())])
+_TABLE = "kind int, blk long, doc_id long, held_out boolean, tokens binary, lid int, word binary, n long, unit int, near binary"
+_FIELDS = pa.schema([("kind", pa.int32()), ("blk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("lid", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("unit", pa.int32()), ("near", pa.binary())])
 DOC, WORD, PAIR = 0, 1, 2
+#: A neighbour is 2 * unit, plus 1 if it follows, above this many bits for how often; larger counts take several.
+NEAR_BITS = 18
 
 
 def _batch(**columns: pa.Array) -> pa.RecordBatch:
@@ -114,6 +122,27 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in _FIELDS], schema=_FIELDS)
 
 
+def neighbours(joined: np.ndarray, of: np.ndarray, rare: np.ndarray, end: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, entries): entries[edges[i] : edges[i + 1]] are the units before and after local word i, with counts.
+
+    ``joined`` has the local words of documents, each closed by -1, ``of`` their units, ``rare`` where to look.
+    """
+    at = np.flatnonzero(rare)
+    wide = 2 * (end + 1)
+    before, after = np.append(of, end)[at - 1], of[at + 1]
+    key = np.concatenate((joined[at] * wide + 2 * before, joined[at] * wide + 2 * after + 1))
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(first, append=len(key))
+    word, code = np.divmod(key[first], wide)
+    most = (1 << NEAR_BITS) - 1
+    parts = -(-n // most)
+    last = np.cumsum(parts) - 1
+    entries = np.repeat(code << NEAR_BITS, parts) + most
+    entries[last] += n - parts * most
+    return np.searchsorted(np.repeat(word, parts), np.arange(words + 1)), entries.astype(np.int32)
+
+
 def blocks(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
     """Rows of three kinds: documents, words of a block, and unit bigrams (``blk`` is then first * units + second)."""
     units = len(frequent) + SHAPES + 1
@@ -140,12 +169,15 @@ def blocks(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
             unit = np.fromiter((known[w] if w in known else len(known) + shape(w) for w in words), np.int32, len(words))
             joined = np.concatenate([np.zeros(0, np.int32), *(x for t in training for x in (t, [-1]))]).astype(np.int64)
             count = np.bincount(joined[joined >= 0], minlength=len(words))
+            of = np.append(unit, end)[joined].astype(np.int64)
+            edges, entries = neighbours(joined, of, (joined >= 0) & (of >= len(known)), end, len(words))
             for at in range(0, len(words), 50_000):
                 part = slice(at, at + 50_000)
                 n = len(words[part])
-                yield _batch(kind=pa.array(np.full(n, WORD, np.int32)), blk=pa.array(np.full(n, block)), lid=pa.array(np.arange(at, at + n, dtype=np.int32)), word=pa.array(words[part], pa.binary()), n=pa.array(count[part]), unit=pa.array(unit[part]))
+                edge = edges[at : at + n + 1]
+                near = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((edge - edge[0]) * 4).astype(np.int32)), pa.py_buffer(entries[edge[0] : edge[-1]])])
+                yield _batch(kind=pa.array(np.full(n, WORD, np.int32)), blk=pa.array(np.full(n, block)), lid=pa.array(np.arange(at, at + n, dtype=np.int32)), word=pa.array(words[part], pa.binary()), n=pa.array(count[part]), unit=pa.array(unit[part]), near=near)
             if len(joined):
-                of = np.append(unit, end)[joined].astype(np.int64)
                 code, n = np.unique(np.concatenate(([end], of[:-1])) * units + of, return_counts=True)
                 yield _batch(kind=pa.array(np.full(len(code), PAIR, np.int32)), blk=pa.array(code), n=pa.array(n))
 
@@ -221,6 +253,80 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def better_classes(group: np.ndarray, near: np.ndarray, n: np.ndarray, was: np.ndarray, total: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Class of each word that makes its neighbours' classes likeliest, its own counts left out.
+
+    Word ``group`` (ascending) has ``n`` times the neighbour ``near``: a class, or ``len(pairs)`` plus
+    one that follows. ``was`` and ``total`` are the words' classes and counts, ``pairs`` the class
+    bigrams with the words in these classes. To first order this is the gain of ``exchange``; as all
+    words move at once, chances are smoothed by ``PRIOR``, or each of them would fill the least class.
+    """
+    k = len(pairs) - 1
+    cell = np.concatenate((pairs[:, :k], pairs[:k].T)).astype(float)
+    own = pairs.sum(0)[:k].astype(float)
+    smooth = np.concatenate((pairs.sum(1), pairs.sum(0))) + 1.0
+    smooth *= PRIOR / smooth[: k + 1].sum()
+    chance = np.log((cell + smooth[:, None]) / (own + PRIOR))
+    best = was.copy()
+    for at in range(0, len(was), 500):
+        part = slice(*np.searchsorted(group, (at, at + 500)))
+        if part.start == part.stop:
+            continue
+        g, x, r = group[part], near[part], n[part].astype(float)
+        gain = chance[x] * r[:, None]
+        here = was[g]
+        gain[np.arange(len(g)), here] = r * np.log((np.maximum(cell[x, here] - r, 0) + smooth[x]) / (np.maximum(own[here] - total[g], 0) + PRIOR))
+        starts = np.flatnonzero(np.diff(g, prepend=-1))
+        gain, some = np.add.reduceat(gain, starts), g[starts]
+        to, row = gain.argmax(1), np.arange(len(some))
+        best[some] = np.where(gain[row, to] > gain[row, was[some]] + 1e-9, to, was[some])
+    return best
+
+
+def word_classes(words: DataFrame, of: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """blk, lid, n over all blocks, cls, and first (once for each word), from the rows of kind WORD and the units' classes and bigrams."""
+    one = np.eye(CLASSES + 1)[of]
+    pairs = one.T @ pairs @ one
+    wide = 2 * (CLASSES + 1)
+
+    def told(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        size = rows.num_rows
+        rows = rows.combine_chunks()
+        lengths = np.diff(starts, append=size)
+        group = np.repeat(np.arange(len(starts)), lengths)
+        total = np.add.reduceat(rows["n"].to_numpy(), starts)
+        was = of[rows["unit"].to_numpy()[starts]]
+        near = rows["near"].combine_chunks().cast(pa.binary())
+        edge = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + size + 1]
+        entries = np.frombuffer(near.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]].view(np.int32)
+        code = entries >> NEAR_BITS
+        key = np.repeat(group, np.diff(edge) // 4) * wide + (code & 1) * (CLASSES + 1) + of[code >> 1]
+        key, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at, entries & ((1 << NEAR_BITS) - 1), len(key))
+        cls = better_classes(key // wide, key % wide, n, was, total, pairs)
+        first = np.zeros(size, bool)
+        first[starts] = True
+        return pa.RecordBatch.from_arrays([rows["blk"].combine_chunks(), rows["lid"].combine_chunks(), pa.array(np.repeat(total, lengths)), pa.array(np.repeat(cls, lengths).astype(np.int32)), pa.array(first)], ["blk", "lid", "n", "cls", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            if not rows.num_rows:
+                continue
+            word = rows["word"].combine_chunks()
+            starts = np.append(0, 1 + np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)))
+            if len(starts) > 1:
+                yield told(rows.slice(0, starts[-1]), starts[:-1])
+            rest = rows.slice(starts[-1])  # the last word may go on
+        if rest is not None and rest.num_rows:
+            yield told(rest, np.zeros(1, np.int64))
+
+    rows = words.select("word", "blk", "lid", "n", "unit", "near").repartition(shuffle_partitions(words.sparkSession), "word").sortWithinPartitions("word", "blk")
+    return map_batches(rows, run, "blk long, lid int, n long, cls int, first boolean")
+
+
 class Model(NamedTuple):
     frequent: list[bytes]
     class_of: np.ndarray
@@ -231,9 +337,9 @@ class Model(NamedTuple):
     ends: int
 
 
-def fit(pairs: np.ndarray, types_of_unit: np.ndarray, frequent: list[bytes], classes: int = CLASSES) -> Model:
-    """From the unit bigrams and the number of distinct training words of each unit."""
-    of = exchange(pairs, classes)
+def fit(pairs: np.ndarray, types_of_unit: np.ndarray, frequent: list[bytes], classes: int = CLASSES, of: np.ndarray | None = None) -> Model:
+    """From the unit bigrams, the number of distinct training words of each unit, and the units' classes, which are found if not given."""
+    of = exchange(pairs, classes) if of is None else of
     one = np.eye(classes + 1)[of]
     n = one.T @ pairs @ one
     second = n.sum(0)
@@ -266,28 +372,55 @@ def score(docs: DataFrame) -> DataFrame:
     found = table.filter(F.col("kind") == PAIR).groupBy("blk").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(units * units, np.int64)
     pairs[found["blk"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    same = Window.partitionBy("word")
-    words = table.filter(F.col("kind") == WORD).select("blk", "lid", "unit", F.sum("n").over(same).alias("n"), (F.min("blk").over(same) == F.col("blk")).alias("first"))
-    words = s.save(words)
-    types = np.zeros(units, np.int64)
-    for r in words.filter("first AND n > 0").groupBy("unit").count().collect():
-        types[r["unit"]] = r["count"]
-    model = fit(pairs.reshape(units, units), types, frequent)._replace(frequent=[])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        from zstandard import ZstdDecompressor
+    pairs = pairs.reshape(units, units)
+    words = s.save(word_classes(table.filter(F.col("kind") == WORD), exchange(pairs), pairs))
+    types = np.zeros(CLASSES + 1, np.int64)
+    for r in words.filter("first AND n > 0").groupBy("cls").count().collect():
+        types[r["cls"]] = r["count"]
+
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
+        from zstandard import ZstdCompressor, ZstdDecompressor
 
         size = right.num_rows
-        count, unit = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        count, cls = np.zeros(size, np.int64), np.zeros(size, np.uint8)
         at = right["lid"].to_numpy()
-        count[at], unit[at] = right["n"].to_numpy(), right["unit"].to_numpy()
-        open_ = ZstdDecompressor().decompress
-        out = []
-        for data in left["tokens"].to_pylist():
-            ids = np.frombuffer(open_(data), np.int32)
-            out.append((len(ids) + 1, *score_tokens(model, count[ids], unit[ids]), model.tokens))
-        n, known, base, mixed, tokens = (pa.array(x) for x in zip(*out, strict=True)) if out else (pa.array([], pa.float64()),) * 5
-        return pa.table([left["doc_id"], left["held_out"], n.cast(pa.int64()), known.cast(pa.int64()), tokens.cast(pa.int64()), base.cast(pa.float64()), mixed.cast(pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        count[at], cls[at] = right["n"].to_numpy(), right["cls"].to_numpy()
+        open_, press = ZstdDecompressor().decompress, ZstdCompressor(level=3).compress
+        n = np.zeros((CLASSES + 1) ** 2, np.int64)
+        data = []
+        for tokens, held in zip(left["tokens"].to_pylist(), left["held_out"].to_pylist(), strict=True):
+            ids = np.frombuffer(open_(tokens), np.int32)
+            of = cls[ids]
+            data.append(press(of.tobytes() + count[ids].view(np.uint8).reshape(-1, 8).T.tobytes()))
+            if not held:
+                to = np.append(of, np.uint8(CLASSES)).astype(np.int64)
+                n += np.bincount(np.roll(to, 1) * (CLASSES + 1) + to, minlength=len(n))
+        pair = np.flatnonzero(n)
+        docs = pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "data": pa.array(data, pa.binary())})
+        return pa.concat_tables([docs, pa.table({"pair": pa.array(pair.astype(np.int32)), "n": pa.array(n[pair])})], promote_options="default")
 
     texts = table.filter(F.col("kind") == DOC).select("blk", "doc_id", "held_out", "tokens")
-    return texts.groupBy("blk").cogroup(words.select("blk", "lid", "n", "unit").groupBy("blk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    coded = s.save(texts.groupBy("blk").cogroup(words.select("blk", "lid", "n", "cls").groupBy("blk")).applyInArrow(code, "doc_id long, held_out boolean, data binary, pair int, n long"))
+    s.drop(table, words)
+    n = np.zeros((CLASSES + 1) ** 2, np.int64)
+    for r in coded.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        n[r["pair"]] = r["n"]
+    model = fit(n.reshape(CLASSES + 1, -1), types, [], of=np.arange(CLASSES + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        open_ = ZstdDecompressor().decompress
+        for batch in batches:
+            out = []
+            for data in batch.column(2):
+                both = np.frombuffer(open_(data.as_py()), np.uint8).reshape(9, -1)
+                count = np.ascontiguousarray(both[1:].T).view(np.int64).ravel()
+                out.append((len(count) + 1, *score_tokens(model, count, both[0]), model.tokens))
+            if out:
+                size, known, base, mixed, tokens = zip(*out, strict=True)
+                whole = [pa.array(x, pa.int64()) for x in (size, known, tokens)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *whole, pa.array(base, pa.float64()), pa.array(mixed, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    texts = coded.filter("pair IS NULL").select("doc_id", "held_out", "data")
+    return map_batches(texts, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

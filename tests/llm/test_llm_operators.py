@@ -388,6 +388,38 @@ def test_lm(docs, no_docs, rows):
     assert lm.score(no_docs).count() == 0
 
 
+def test_lm_clusters_rare_words_by_their_counts(spark):
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    some = [t for i in range(600) for t in (f"the wa{i:04d}kk is", f"very wb{i:04d}kk and")] * 2 + ["the dog is", "very big and"] * 100
+    held = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    asked = [t for i in range(100) for t in (f"the wa{i:04d}kk is", f"the wb{i:04d}kk is")]  # same counts, length and ending
+    docs = spark.createDataFrame([*zip(ids, some), *zip(held, asked)], "doc_id long, text string").repartition(3)
+    score = {r["doc_id"]: r["score"] for r in lm.score(docs).collect() if r["held_out"]}
+    assert sum(score[a] > score[b] + 0.5 for a, b in zip(held[:200:2], held[1:200:2])) >= 95
+
+
+def test_better_classes_make_neighbours_likeliest():
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(40, 90, (5, 5))
+    pairs += pairs.T  # a class is as often first as second
+    q = (pairs.sum(0) + 1) / (pairs.sum() + 5)
+    group, near, n, was, total, expected = [], [], [], [], [], []
+    for w in range(1200):
+        was.append(w % 4)
+        total.append(w % 9)
+        sides = [rng.multinomial(total[w], np.full(5, 0.2)) for _ in range(2)]
+        value = np.zeros(4)
+        for side, r in enumerate(sides):
+            for x in np.flatnonzero(r):
+                group.append(w), near.append(5 * side + x), n.append(r[x])
+                for c in range(4):
+                    less, of = (r[x], total[w]) if c == was[w] else (0, 0)
+                    cell = pairs[x, c] if side == 0 else pairs[c, x]
+                    value[c] += r[x] * math.log((cell - less + lm.PRIOR * q[x]) / (pairs[c].sum() - of + lm.PRIOR))
+        expected.append(int(value.argmax()) if total[w] else was[w])
+    assert lm.better_classes(*(np.array(a) for a in (group, near, n, was, total)), pairs).tolist() == expected
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(3)
     n = np.zeros((21, 21))
