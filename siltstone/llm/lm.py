@@ -44,6 +44,7 @@ from siltstone.llm.common import Scratch, map_batches, shuffle_partitions, text_
 
 FOLDS, HELD = 7, 2
 RARE = 2000
+FINER = 8
 SHAPES = 256
 CLASSES = 48
 SWEEPS = 12
@@ -73,34 +74,45 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bool, li
 def frequent_words(docs: DataFrame) -> list[bytes]:
     """Words of at least one training token in RARE, by count.
 
-    Counts are added up where a word is that frequent within a stretch of its
-    task; a frequent word is so in some stretch, and at most RARE come out.
+    Candidates come from stretches of the tasks, which tell the words of at
+    least one token in RARE * FINER there. What a frequent word has in stretches
+    that don't tell it is less than 1 / FINER of the limit, so at most
+    RARE * FINER / (FINER - 1) words can be frequent; these are counted anew.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total = Counter(), 0
-
-        def told() -> pa.RecordBatch:
-            some = [(w, n) for w, n in count.items() if n * RARE >= total]
-            return pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in some)], pa.binary()), pa.array([total, *(n for _, n in some)], pa.int64())], ["word", "n"])
-
         for _, held, words in _texts(batches):
             if held:
                 continue
             count.update(words)
             total += len(words)
             if total >= BLOCK_TOKENS or len(count) >= 2 * BLOCK_WORDS:
-                yield told()
+                yield told(count, total)
                 count, total = Counter(), 0
-        yield told()
+        yield told(count, total)
+
+    def told(count: Counter, total: int) -> pa.RecordBatch:
+        some = [(w, n) for w, n in count.items() if n * RARE * FINER >= total]
+        return pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in some)], pa.binary()), pa.array([total, *(n for _, n in some)], pa.int64())], ["word", "n"])
 
-    sums = map_batches(_rows(docs), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = map_batches(_rows(docs), stretches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     s = Scratch(docs.sparkSession, "frequent")
     sums = s.save(sums)
     total = sums.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = sums.filter((F.col("n") * RARE >= total) & F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(RARE).collect()
+    likely = sums.filter((F.col("n") * (RARE * FINER) >= total * (FINER - 1)) & F.col("word").isNotNull())
+    known = {bytes(r["word"]) for r in likely.select("word").collect()}
     s.drop(sums)
-    return [bytes(r["word"]) for r in found]
+
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counter()
+        for _, held, words in _texts(batches):
+            if not held:
+                count.update(filter(known.__contains__, words))
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+
+    counts = map_batches(_rows(docs), recount, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in counts.filter(F.col("n") * RARE >= total).orderBy(F.desc("n"), "word").collect()]
 
 
 def shape(word: bytes) -> int:

@@ -388,6 +388,15 @@ def test_lm(docs, no_docs, rows):
     assert lm.score(no_docs).count() == 0
 
 
+def test_frequent_words_of_uneven_stretches(spark):
+    ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2][:4]
+    # 160,000 tokens: the limit is 80, and one in 16,000 of a stretch is 2.5
+    texts = [["x"] * (75 if k == 0 else 2) + ["y"] * (75 if k == 0 else 1) for k in range(4)]
+    texts = [" ".join(t + [f"f{k}-{i}" for i in range(40_000 - len(t))]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(zip(ids, texts)), 4), "doc_id long, text string")
+    assert lm.frequent_words(docs) == lm.frequent_words(docs.coalesce(1)) == [b"x"]
+
+
 def test_lm_clusters_rare_words_by_their_counts(spark):
     ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 7 != 2]
     some = [t for i in range(600) for t in (f"the wa{i:04d}kk is", f"very wb{i:04d}kk and")] * 2 + ["the dog is", "very big and"] * 100
