@@ -3,8 +3,8 @@
 Each micro-batch is one commit: its last write of every key is appended under
 one LSN. A batch that is run again after a failure is known by its number, kept
 in the record, and not appended twice. The processing-time trigger plays the
-part of a timer, and a flush after each batch that fills the table that of a
-capacity check.
+part of a timer: each batch it starts ends with a flush of a non-empty table. A
+flush after each batch that fills the table is the capacity check.
 """
 
 from __future__ import annotations
@@ -44,7 +44,11 @@ def ingest(stream: DataFrame, table: KeyedTable, checkpoint: str, every: str | N
     """Starts writing a stream (order, op, key, value) to a table; without ``every`` it ends with the data there is."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        if append_batch(table, rows, batch_id) and flush_when_full and table.capacity is not None and table.unflushed_bytes() >= table.capacity:
+        new = append_batch(table, rows, batch_id)
+        if every and not table.log.read().filter(F.col("op").isin("PUT", "DEL", "CLEAR")).isEmpty():
+            table.flush()  # also if a run before failed between append and flush
+            table.log.append([("BATCH", None, None, 1_000_000_000 + batch_id, 0)])  # the flush has cut the batch's mark
+        elif new and flush_when_full and table.capacity is not None and table.unflushed_bytes() >= table.capacity:
             table.flush()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -22,6 +22,19 @@ def test_stream_into_table(spark, tmp_path):
     assert {r["key"]: bytes(r["value"]) for r in table.recover().iter().collect()} == {"b": b"1", "c": b"3"}
 
 
+def test_a_timed_stream_flushes_what_is_not_full(spark, tmp_path):
+    source, table = f"{tmp_path}/in", KeyedTable(spark, f"file://{tmp_path}/t")
+    spark.createDataFrame([(1, "PUT", "a", b"1"), (2, "PUT", "b", b"2")], SCHEMA).coalesce(1).write.parquet(source)
+    query = ingest.ingest(spark.readStream.schema(SCHEMA).parquet(source), table, f"{tmp_path}/cp", every="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert len(table.manifest.segments()) == 1 and table.unflushed_bytes() == 0
+    assert not ingest.append_batch(table, spark.createDataFrame([(1, "PUT", "a", b"1")], SCHEMA), 0)
+    assert {r["key"]: bytes(r["value"]) for r in table.recover().iter().collect()} == {"a": b"1", "b": b"2"}
+
+
 def test_a_batch_counts_once(spark, tmp_path):
     table = KeyedTable(spark, f"file://{tmp_path}/t")
     rows = spark.createDataFrame([(1, "PUT", "a", b"1")], SCHEMA)
