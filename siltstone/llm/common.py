@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -36,6 +37,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of the input is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, quoted, as a name may hold a dot."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -71,9 +89,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers find this package where it is not installed."""
-    env = df.sparkSession.sparkContext.environment
-    root = str(Path(__file__).resolve().parents[2])
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a session, as an archive in the shared folder."""
+    context = spark.sparkContext
+    if getattr(context, "_siltstone_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    place = f"{scratch_root(spark)}/{package.name}-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    context.addPyFile(place)
+    context._siltstone_shipped = True

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import SPACE_RUN, Scratch, shuffle_partitions, text_of
+from siltstone.llm.common import SPACE_RUN, Scratch, columns_of, free_names, shuffle_partitions, text_of
 
 BLOCK_BYTES = 4096
 
@@ -117,15 +117,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows are found again by (doc_id, hash of the normalised text); of several
     rows alike in both one stays.
     """
-    names = {c.lower() for c in docs.columns}
-    sha, key = "_dedup_sha", "_dedup_id"
-    while sha in names or key in names:
-        sha, key = "_" + sha, "_" + key
+    sha, key = free_names(docs, "_dedup_sha", "_dedup_id")
     kept = dedup(docs).filter("kept").select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(sha))
     kept = Scratch(docs.sparkSession, "kept").save(kept)
     own = docs.withColumn(sha, F.unhex(text_sha())).withColumn(key, F.col("doc_id").cast("long"))
     # the same exchange serves the semi join and the choice of one row
-    return own.join(kept, (own[key].eqNullSafe(kept[key])) & (own[sha] == kept[sha]), "left_semi").dropDuplicates([key, sha]).select(*docs.columns)
+    return own.join(kept, (own[key].eqNullSafe(kept[key])) & (own[sha] == kept[sha]), "left_semi").dropDuplicates([key, sha]).select(*columns_of(docs))
 
 
 SQL = r"""

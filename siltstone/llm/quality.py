@@ -6,8 +6,8 @@ so the whole operator is a narrow projection without a shuffle.
 
 Edge cases: a null or empty text has no words, so every count is 0 and the base
 rule rejects it; repeated rows are judged one by one; an empty table gives an
-empty result; columns of the input other than the text are passed through, and
-a measure whose name clashes with one is kept inside the ``measures`` struct.
+empty result; columns of the input are passed through whatever their names, only
+``judge`` replaces those called ``measures``, ``base_failed`` and ``kept``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import SPACE_CHARS, text_of, words_of
+from siltstone.llm.common import SPACE_CHARS, columns_of, free_names, text_of, words_of
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -56,7 +56,7 @@ def _count_chars(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
+def measure(df: DataFrame, text: str = "text", name: str = "measures") -> DataFrame:
     """Adds ``measures``, a struct with every count that the rules use.
 
     Repeated words: the three-word windows are sorted together with their
@@ -64,14 +64,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     and the union of the covered places is counted from their sorted gaps.
     """
     t = text_of(text)
-    taken = {c.lower() for c in df.columns}
-    names = {}
-    for n in ("w", "grams", "places", "lines"):
-        name = f"_q_{n}"
-        while name in taken:
-            name = "_" + name
-        names[n] = name
-    w, grams, places, lines = (names[n] for n in ("w", "grams", "places", "lines"))
+    w, grams, places, lines = free_names(df, "_q_w", "_q_grams", "_q_places", "_q_lines")
     n = F.size(w)
     a = df.withColumn(w, words_of(t)).withColumn(lines, F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0))
     zipped = F.arrays_zip(F.col(w).alias("a"), F.slice(w, F.lit(2), F.greatest(n, F.lit(1))).alias("b"), F.slice(w, F.lit(3), F.greatest(n, F.lit(1))).alias("c"))
@@ -92,7 +85,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
     )
-    return a.withColumn("measures", measures).drop(w, grams, places, lines)
+    return a.withColumn(name, measures).drop(w, grams, places, lines)
 
 
 def base_failed(measures: Column) -> Column:
@@ -123,9 +116,10 @@ def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     The row number in the condition keeps the planner from moving the filter
     below the measures, which would copy their expressions into it many times.
     """
-    out = measure(df.drop("measures"), text).withColumn("_q_row", F.monotonically_increasing_id())
-    m = F.col("measures")
-    return out.filter(~base_failed(m) & ~rejected(m, rules) & (F.col("_q_row") >= 0)).select(*df.columns)
+    name, row = free_names(df, "measures", "_q_row")
+    out = measure(df, text, name).withColumn(row, F.monotonically_increasing_id())
+    m = F.col(name)
+    return out.filter(~base_failed(m) & ~rejected(m, rules) & (F.col(row) >= 0)).select(*columns_of(df))
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
