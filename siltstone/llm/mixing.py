@@ -12,8 +12,10 @@ table of thresholds has a row per source, and whether it is broadcast is left
 to the planner's size threshold.
 
 Edge cases: a null source is a source of its own, last in order; a null text
-has no words; sources without words have the target 0; rows alike in doc_id and
-text share a hash and are taken together; an empty table gives an empty result.
+has no words; sources without words have the target 0, so none of their rows is
+taken; rows without words are taken as often as their source's whole copies;
+rows alike in doc_id and text share a hash and are taken together; an empty
+table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, text_of, words_of
+from siltstone.llm.common import Scratch, columns_of, free_names, text_of, words_of
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -36,24 +38,39 @@ def _prefix(level: int) -> Column:
     return F.shiftright("h", max(0, 64 - BITS * level))
 
 
+def weighted(by_source: DataFrame, weights: tuple[int, ...], s: Scratch) -> DataFrame:
+    """Sources with the weight of their place in order, null last.
+
+    A range-partitioned sort numbers them within partitions, and the counts of
+    the partitions before, one row each, are added; no task sees all sources.
+    """
+    order = F.col("source").asc_nulls_last()
+    rows = by_source.orderBy(order).withColumn("id", F.monotonically_increasing_id())
+    rows = s.save(rows.select("source", "source_size", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("before") + F.col("at")) % len(weights) + 1).cast("int"))
+    return rows.join(before, "part").select("source", "source_size", w.alias("weight"))
+
+
 def source_targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """(source, source_size) to targets: shares by weight, capped at ``most`` sizes, the excess reshared.
 
-    The fixed point of resharing is a water level: in the order of cap by
-    weight, the first source that the level doesn't drown sets it for the rest.
+    The fixed point of resharing is a water level: what a weight of one gets.
+    It starts as if no source were capped and rises, as what capped sources
+    leave is shared by the others, until no further source is drowned; a step is
+    one aggregate of a row.
     """
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = by_source.withColumn("weight", w).withColumn("cap", most * F.col("source_size"))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    t = t.withColumn("place", F.row_number().over(fill)).withColumn("total", F.sum("source_size").over(everything))
-    before = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    t = t.withColumn("level", (F.col("total") - before) / rest)
-    t = t.withColumn("first", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(everything))
-    free = F.col("place") >= F.col("first.place")
-    return t.select("source", "source_size", F.when(free, F.least(F.col("first.level") * F.col("weight"), F.col("cap").cast("double"))).otherwise(F.col("cap").cast("double")).alias("target"))
+    s = Scratch(by_source.sparkSession, "targets")
+    t = s.save(weighted(by_source, weights, s).withColumn("cap", (most * F.col("source_size")).cast("long")))
+    level, drowned = 0.0, -1
+    while True:
+        under = F.col("weight") * F.lit(level) > F.col("cap") if drowned >= 0 else F.lit(False)
+        r = t.agg(F.sum("source_size").alias("total"), F.sum(F.when(under, F.col("cap"))).alias("caps"), F.sum(F.when(~under, F.col("weight"))).alias("free"), F.count_if(under).alias("drowned")).first()
+        if r["drowned"] == drowned or not r["free"]:
+            break
+        level, drowned = ((r["total"] or 0) - (r["caps"] or 0)) / r["free"], r["drowned"]
+    return t.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
 def thresholds(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> tuple[DataFrame, DataFrame]:
@@ -93,10 +110,11 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return sizes, s.save(out)
 
 
-def copies_of() -> Column:
-    """How often a row with hash h is taken, beside its source's row of the plan."""
-    under = (F.col("h") < F.col("lower")) | (F.col("included") & (F.expr("shiftright(h, shift)") == F.col("boundary")))
-    return F.col("copies") + F.coalesce(under, F.lit(False)).cast("long")
+def copies_of(h: str = "h", size: str = "size", plan: str = "") -> Column:
+    """How often a row with hash ``h`` is taken, beside its source's row of the plan; a row without words is no part of the rest."""
+    p = {c: F.col(plan + c) for c in ("copies", "boundary", "shift", "lower", "included")}
+    under = (F.col(h) < p["lower"]) | (p["included"] & (F.call_function("shiftright", F.col(h), p["shift"]) == p["boundary"]))
+    return p["copies"] + ((F.col(size) > 0) & F.coalesce(under, F.lit(False))).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -109,8 +127,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
     _, plan = thresholds(docs, weights, most)
-    p = plan.select(F.col("source").alias("__of"), F.struct("copies", "boundary", "shift", "lower", "included").alias("__plan"))
-    n = F.col("__plan.copies") + F.coalesce((F.col("__h") < F.col("__plan.lower")) | (F.col("__plan.included") & (F.expr("shiftright(__h, __plan.shift)") == F.col("__plan.boundary"))), F.lit(False)).cast("long")
-    own = docs.withColumn("__h", row_hash())
-    joined = own.join(p, F.col("source").cast("string").eqNullSafe(F.col("__of")), "left").withColumn("__n", n.cast("int")).filter("__n > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    of, row, h, size = free_names(docs, "_mix_of", "_mix_plan", "_mix_h", "_mix_size")
+    p = plan.select(F.col("source").alias(of), F.struct("copies", "boundary", "shift", "lower", "included").alias(row))
+    own = docs.select(*columns_of(docs), row_hash().alias(h), F.size(words_of(text_of())).alias(size))
+    joined = own.join(p, F.col("source").cast("string").eqNullSafe(F.col(of)), "left")
+    # a row is repeated by an array of nothing that is as long as it is taken
+    n = copies_of(h, size, f"{row}.").cast("int")
+    return joined.select(*columns_of(docs), F.explode(F.array_repeat(F.lit(0), n)).alias(row)).drop(row)
