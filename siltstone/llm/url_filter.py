@@ -4,8 +4,14 @@ Pages with a label give each host counts of bad outcomes. The rate of a suffix
 is shrunk to the overall rate, that of a registered domain to its suffix's and
 that of a host to its domain's, each by a beta-binomial prior whose strength is
 estimated from the spread of its level (method of moments). A host is blocked
-if the lower bound of its posterior rate lies above a threshold, so a host with
-few outcomes is judged mostly by what stands above it.
+if the lower bound of its posterior odds is above ``ODDS`` times the overall
+odds, so what counts as bad follows the labels, and a host with few outcomes is
+judged mostly by what stands above it.
+
+For the levels a host loses user info, port and closing dots; an address is its
+own domain and suffix. Suffixes are the last label, or one of the caller's list
+of longer ones; ``LONG_SUFFIXES`` is a short excerpt of the public list, which a
+deployment passes in whole.
 
 Counts are partially aggregated by host before they are shuffled; later levels
 work on one row per host. Verdicts are joined back by host with a plain
@@ -30,7 +36,8 @@ from siltstone.llm.common import LOWER, UPPER, Scratch, ascii_lower
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Suffixes of two labels, beside those of one.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br")
-BAD_RATE = 0.5
+#: A host is bad if its odds are surely (one-sided, 95 %) so many times those of all pages.
+ODDS = 2.0
 SIGMAS = 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
@@ -56,11 +63,18 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def levels_of(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the suffix is the last label, or the last two where listed."""
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(*LONG_SUFFIXES)
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
+def bare(host: Column) -> Column:
+    """The host's name: without user info, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(host, r"^(?:[^@]*@)+", ""), r"(?::[0-9]*|\.+)+\z", "")
+
+
+def levels_of(name: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix): the suffix is the last label, or the last two where listed; an address is both."""
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(*long_suffixes)
+    address = name.rlike(r"^[0-9.]+\z|^\[")
+    domain = F.when(address, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(address, name).when(long, two).otherwise(F.substring_index(name, ".", -1))
 
 
 def strength(counts: DataFrame) -> DataFrame:
@@ -75,10 +89,10 @@ def strength(counts: DataFrame) -> DataFrame:
     return some.select(F.round(F.least(F.greatest(m, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)), 6).alias("strength"))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """Rows (host, n, k) of counts by host to host, mean and lower, the lower bound of the posterior rate."""
+def reputation(outcomes: DataFrame, odds: float = ODDS, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
+    """Rows (host, n, k) of counts by host to host, mean, lower (the lower bound of the posterior rate) and bad."""
     s = Scratch(outcomes.sparkSession, "hosts")
-    domain, suffix = levels_of(F.col("host"))
+    domain, suffix = levels_of(F.col("host"), long_suffixes)
     hosts = s.save(outcomes.withColumn("domain", domain).withColumn("suffix", suffix))
     domains = s.save(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = s.save(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
@@ -91,18 +105,19 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     a, b = F.col("k") + m_host * F.col("above"), F.col("n") - F.col("k") + m_host * (1 - F.col("above"))
     mean = a / (a + b)
     lower = mean - SIGMAS * F.sqrt(mean * (1 - mean) / (a + b + 1))
-    return s.save(hosts.join(domains, ["domain", "suffix"]).select("host", mean.alias("mean"), lower.alias("lower")))
+    bad = lower * (1 - rate) > odds * rate * (1 - lower)
+    return s.save(hosts.join(domains, ["domain", "suffix"]).select("host", mean.alias("mean"), lower.alias("lower"), bad.alias("bad")))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, bad_rate: float = BAD_RATE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, odds: float = ODDS, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     host, path = host_and_path(F.col("url").cast("string"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"))
+    own = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("name", bare(F.col("host")))
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
-    outcomes = own.select("page_id", "host").join(bad, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    verdicts = reputation(outcomes).select("host", (F.col("lower") > bad_rate).alias("bad"))
+    outcomes = own.select("page_id", F.col("name").alias("host")).join(bad, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    verdicts = reputation(outcomes, odds, long_suffixes).select(F.col("host").alias("name"), "bad")
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    return own.join(verdicts, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
+    return own.join(verdicts, "name", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 
 def sql(rules: Sequence[tuple[str, str]] = RULES) -> str:
@@ -122,16 +137,19 @@ def sql(rules: Sequence[tuple[str, str]] = RULES) -> str:
     return f"""
     WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    q AS (SELECT *, regexp_replace(regexp_replace(host, '^(?:[^@]*@)+', ''), '(?::[0-9]*|\\.+)+\\z', '') AS name FROM p),
     l AS (SELECT doc_id AS page_id, max((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS bad FROM labels GROUP BY doc_id),
-    h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM p LEFT JOIN l USING (page_id) GROUP BY host),
-    hosts AS (SELECT host, n, k, CASE WHEN two IN ({longs}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain,
-                     CASE WHEN two IN ({longs}) THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM h),
+    h AS (SELECT name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k, array_to_string(string_split(name, '.')[-2:], '.') AS two,
+                 regexp_matches(name, '^[0-9.]+\\z|^\\[') AS address FROM q LEFT JOIN l USING (page_id) GROUP BY name),
+    hosts AS (SELECT name, n, k, CASE WHEN address THEN name WHEN two IN ({longs}) THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain,
+                     CASE WHEN address THEN name WHEN two IN ({longs}) THEN two ELSE string_split(name, '.')[-1] END AS suffix FROM h),
     domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
     suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
     c AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS rate, {strength("suffixes")} AS ms, {strength("domains")} AS md, {strength("hosts")} AS mh FROM suffixes),
     s AS (SELECT suffix, (k + ms * rate) / (n + ms) AS above FROM suffixes, c),
     d AS (SELECT domain, suffix, (k + md * above) / (n + md) AS above FROM domains JOIN s USING (suffix), c),
-    b AS (SELECT host, k + mh * above AS a, n - k + mh * (1 - above) AS b FROM hosts JOIN d USING (domain, suffix), c),
-    v AS (SELECT host, a / (a + b) - {SIGMAS} * sqrt(a * b / (a + b) / (a + b) / (a + b + 1)) > {BAD_RATE} AS bad FROM b)
+    b AS (SELECT name, rate, k + mh * above AS a, n - k + mh * (1 - above) AS b FROM hosts JOIN d USING (domain, suffix), c),
+    w AS (SELECT name, rate, a / (a + b) - {SIGMAS} * sqrt(a * b / (a + b) / (a + b) / (a + b + 1)) AS lower FROM b),
+    v AS (SELECT name, lower * (1 - rate) > {ODDS} * rate * (1 - lower) AS bad FROM w)
     SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
-    FROM p LEFT JOIN v USING (host)"""
+    FROM q LEFT JOIN v USING (name)"""
