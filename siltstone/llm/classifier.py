@@ -14,8 +14,8 @@ weights are a table of ``2 ** BITS`` numbers at any corpus size. Every text is
 scored, in record batches, without a shuffle.
 
 Edge cases: null and empty texts have the bias alone; rows with a null label
-aren't trained on, of several labels for a document the lowest counts, rows
-without doc_id count as held out; without labels every score is 0.5; repeated
+aren't trained on, of several labels for a document the lowest counts, and of
+several rows with its doc_id one; rows without doc_id count as held out; without labels every score is 0.5; repeated
 rows score alike; an empty table gives an empty result.
 """
 
@@ -113,10 +113,12 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     """Weights, as little-endian 32-bit floats."""
-    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label")).filter(~held_out())
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label")).filter(~held_out())
     chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
     # at most ``sample`` rows of three numbers: broadcast
-    some = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "label", "text")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of rows that repeat a doc_id one is learned from, so the sample bounds texts too
+    some = some.groupBy("h", "doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("h", "label", "text")
     vectors = map_batches(some, _vectors, "h long, label int, places binary, x binary")
     found = map_batches(vectors.repartition(1), _fit, "weights binary").first()
     return bytes(found[0]) if found else bytes(4 << BITS)
