@@ -14,9 +14,13 @@ A subtree is kept as its sorted suffixes, cut at depth ``WINDOW``: neighbours
 that agree to that depth are the leaves of one deep internal node, and their
 windows are repeated. Stretches that read alike are combined before they are
 shuffled, as a passage that many documents share gives the same ones again and
-again. A subtree of more than ``HOT`` different stretches, some 60 MB of
-suffixes, doesn't fit this: its suffixes are routed by a prefix of the full
-depth instead, and aggregated before they are shuffled.
+again.
+
+A subtree of more than ``MOST`` suffixes or stretches doesn't fit: its suffixes
+are routed by longer prefixes, of ``PREFIXES`` words each in turn, until every
+part fits. A prefix of the full depth leaves nothing to sort: all its suffixes
+are leaves of one deep node, so they are counted by an aggregate, however many
+there are.
 
 Documents with equal word sequences are one text here: if there are several,
 each of their windows starts elsewhere. Texts are known by 128 bits of the
@@ -44,7 +48,10 @@ from siltstone.llm.common import SPACE_RUN, Scratch, map_batches, shuffle_partit
 
 WINDOW = 35
 GRAM = 5
-HOT = 8000
+#: Most stretches, or suffixes, of a subtree that is built in one piece: some 10 MB.
+MOST = 1000
+#: Words of the prefixes that split larger subtrees; the full depth comes after them.
+PREFIXES = (8, 14, 20, 27)
 #: Words of a text that are handled at once; windows belong to the part where they start.
 PART = 4_000_000
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -155,25 +162,22 @@ def windows_of(words: bytes, window: int) -> list[bytes]:
     return [words[starts[i] : ends[i + window - 1]] for i in range(len(ends) - window + 1)]
 
 
-def deep_leaves(suffixes: list[tuple[bytes, object]]) -> list[object]:
-    """Leaves of the internal nodes at full depth: suffixes, cut there, that a neighbour in sorted order equals."""
+def deep_nodes(suffixes: list[tuple[bytes, object]]) -> list[list[object]]:
+    """The leaves below each internal node at full depth: suffixes, cut there, that neighbours in sorted order equal."""
     suffixes.sort(key=itemgetter(0))
-    out = []
-    for _, leaves in groupby(suffixes, key=itemgetter(0)):
-        some = [x[1] for x in leaves]
-        if len(some) > 1:
-            out += some
-    return out
+    nodes = ([x[1] for x in leaves] for _, leaves in groupby(suffixes, key=itemgetter(0)))
+    return [leaves for leaves in nodes if len(leaves) > 1]
 
 
 _MASK = "h long, id binary, mask long"
 
 
-def subtrees(types: DataFrame, window: int) -> DataFrame:
+def subtrees(rows: DataFrame, window: int) -> DataFrame:
     """h, id and mask: bit i of mask is set if window i of the stretch is repeated.
 
-    Rows (h, id, words, several) are clustered by h; ``several`` stretches have
-    several places, so that all their windows are repeated.
+    Rows (route, h, id, k, words, several) are clustered by route; ``words``
+    starts at window k of its stretch. ``several`` stretches have several places,
+    so that all their windows are repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +187,14 @@ def subtrees(types: DataFrame, window: int) -> DataFrame:
                     yield from zip(*(c.slice(at, 5000).to_pylist() for c in batch.columns), strict=True)
 
         out = []
-        for h, group in groupby(flat(), key=itemgetter(0)):
-            some = [(id_, windows_of(words, window), several) for _, id_, words, several in group]
-            masks = [(1 << len(w)) - 1 if several else 0 for _, w, several in some]
+        for _, group in groupby(flat(), key=itemgetter(0)):
+            some = [(h, id_, k, windows_of(words, window), several) for _, h, id_, k, words, several in group]
+            masks = [(1 << len(x[3])) - 1 if x[4] else 0 for x in some]
             if len(some) > 1:
-                for i, k in deep_leaves([(w, (i, k)) for i, x in enumerate(some) for k, w in enumerate(x[1])]):
-                    masks[i] |= 1 << k
-            out += [(h, x[0], m) for x, m in zip(some, masks, strict=True) if m]
+                for leaves in deep_nodes([(w, (i, j)) for i, x in enumerate(some) for j, w in enumerate(x[3])]):
+                    for i, j in leaves:
+                        masks[i] |= 1 << j
+            out += [(x[0], x[1], m << x[2]) for x, m in zip(some, masks, strict=True) if m]
             if len(out) > 20_000:
                 yield told(out)
                 out = []
@@ -200,26 +205,56 @@ def subtrees(types: DataFrame, window: int) -> DataFrame:
         h, id_, mask = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(id_, pa.binary()), pa.array(mask, pa.int64())], ["h", "id", "mask"])
 
-    return map_batches(types, run, _MASK)
+    clustered = rows.select("route", "h", "id", "k", "words", "several").repartition(shuffle_partitions(rows.sparkSession), "route").sortWithinPartitions("route")
+    return map_batches(clustered, run, _MASK)
 
 
-def full_depth(types: DataFrame, window: int) -> DataFrame:
-    """The same for subtrees of many stretches, by whole windows."""
+def suffixes_of(types: DataFrame, window: int) -> DataFrame:
+    """The suffixes of each stretch, cut at full depth: h, id, k, words, several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                found = [(h, id_, k, w, several) for h, id_, words, several in zip(*(c.slice(at, 2000).to_pylist() for c in batch.columns), strict=True) for k, w in enumerate(windows_of(words, window))]
+            for at in range(0, batch.num_rows, 1000):
+                found = [(h, id_, k, w, several) for h, id_, words, several in zip(*(c.slice(at, 1000).to_pylist() for c in batch.columns), strict=True) for k, w in enumerate(windows_of(words, window))]
                 h, id_, k, words, several = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(id_, pa.binary()), pa.array(k, pa.int32()), pa.array(words, pa.binary()), pa.array(several, pa.bool_())], ["h", "id", "k", "words", "several"])
 
-    s = Scratch(types.sparkSession, "hot-windows")
-    each = s.save(map_batches(types, run, "h long, id binary, k int, words binary, several boolean"))
-    repeated = s.save(each.groupBy("words").agg(*_places("id", "k"), F.bool_or("several").alias("several")).filter(f"several OR {SEVERAL}").select("words"))
-    return each.join(repeated, "words").groupBy("h", "id").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
-
-
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    return map_batches(types.select("h", "id", "words", "several"), run, "h long, id binary, k int, words binary, several boolean")
+
+
+def repeated_windows(types: DataFrame, window: int, s: Scratch, most: int = MOST, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
+    """h, id and mask of the stretches (h, id, words, several) that have repeated windows."""
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the routes that fit, and of those that don't."""
+        big = s.save(rows.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("route"))
+        return rows.join(big, "route", "left_anti"), rows.join(big, "route", "left_semi")
+
+    fit, rest = parted(types.select(F.col("h").alias("route"), "h", "id", F.lit(0).alias("k"), "words", "several"))
+    found = subtrees(fit, window)
+    parts = []
+    if not rest.isEmpty():
+        rest = s.save(suffixes_of(rest, window))
+        for n in [p for p in prefixes if p < window]:
+            route = F.xxhash64("h", F.substring_index(F.col("words").cast("string"), " ", n))
+            fit, more = parted(rest.withColumn("route", route))
+            parts.append(s.save(subtrees(fit, window)))
+            rest = s.save(more.drop("route"))
+            if rest.isEmpty():
+                break
+        else:
+            # prefixes of full depth: each is the path of a deep node, and its suffixes are the leaves
+            nodes = s.save(rest.groupBy("words").agg(*_places("id", "k"), F.bool_or("several").alias("several")).filter(f"several OR {SEVERAL}").select("words"))
+            parts.append(rest.join(nodes, "words").select("h", "id", F.expr("shiftleft(1L, k)").alias("mask")))
+    if parts:
+        split = parts[0]
+        for x in parts[1:]:
+            split = split.unionByName(x)
+        found = found.unionByName(split.groupBy("h", "id").agg(F.bit_or("mask").alias("mask")))
+    return found
+
+
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(rows, results): rows has doc_id, key, sha and n; results has key, n_removed, kept_sha256 and spans, for texts that lose words.
 
     spans are the removed stretches of words, as (start, end), or null where all words go.
@@ -239,9 +274,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     s.drop(grams, table_part=(table, "kind=1"))
     parts = s.save(stretches(texts, window))
     types = s.save(parts.groupBy("h", "id").agg(F.first("words").alias("words"), *_places("key", "first")).select("h", "id", "words", F.expr(SEVERAL).alias("several")))
-    big = s.save(types.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h"))
-    small = types.join(big, "h", "left_anti").repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
-    masks = subtrees(small, window).unionByName(full_depth(types.join(big, "h", "left_semi"), window))
+    masks = repeated_windows(types, window, s, most)
     masks = parts.select("h", "id", "key", "first").join(masks, ["h", "id"]).select("key", "first", "mask")
     masks = s.save(masks.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("marks")))
     s.drop(parts, types)
@@ -274,9 +307,9 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     return rows, s.save(found.unionByName(whole))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256."""
-    rows, found = removed(docs, window, gram, hot)
+    rows, found = removed(docs, window, gram, most)
     return rows.join(found, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_words"),
