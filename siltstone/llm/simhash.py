@@ -7,20 +7,27 @@ the Manhattan distance of two embeddings never exceeds the number of differing
 bits. Counts are kept in unary (0, 01, 11), so that the distance is the number
 of differing bits of two codes.
 
-Range join: at Manhattan distance 3, at most 3 of 6 groups of segments differ,
-so two fingerprints share the counts of at least 3 groups. The grid has a cell
-for each choice of 3 groups and their counts; a fingerprint lies in 20 cells.
-Within a cell the Manhattan bound is checked first, then the bits themselves,
-and a pair is told by one cell only (that of its first three equal groups).
+Range join: segments are dealt into some number of groups. At Manhattan distance
+3 at most 3 groups differ, so two fingerprints agree in the counts of all others.
+The grid has a cell for each choice of all groups but 3 and their counts: with 6
+groups a fingerprint lies in 20 cells. Cells are counted first. A cell of at most
+``CELL`` fingerprints is joined with itself, the Manhattan bound before the bits.
+The fingerprints of fuller cells go to a finer grid, of more groups, where each
+of their pairs meets again; so candidates per fingerprint stay bounded however
+many there are, and cells grow finer only where they are full. A cell of the
+finest grid that is still full is cut into blocks that are joined in tasks of
+their own. No pair is lost at any step.
 
 Only distinct fingerprints are joined, so copies cost nothing, and only links
 between different fingerprints are made. Components come from alternating
-large-star and small-star steps on those links, kept in the shared folder.
+large-star and small-star steps on those links, kept in the shared folder; the
+neighbours of a hub stay where they are, and what they look up goes to them.
 
 Edge cases: null, empty and blank texts have the fingerprint 0 and are linked
 like any other; texts of one or two words have one shingle; a component of rows
 without doc_id has no component_id; repeated rows are one group; an empty table
-gives an empty result; only doc_id and text are read.
+gives an empty result; only doc_id and text are read, columns of other names
+are passed through.
 """
 
 from __future__ import annotations
@@ -33,13 +40,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, map_batches, text_of
+from siltstone.llm.common import Scratch, columns_of, free_names, map_batches, text_of
 
 MOST_BITS = 3
 SHINGLE = 3
 SEED = 42
 SEGMENT_BITS = 2
-GROUPS = 6
+#: Numbers of groups, from the coarsest grid to the finest.
+GRIDS = (6, 8, 11, 16)
+#: Most fingerprints of a cell that is joined as it is.
+CELL = 256
+#: Nodes with more neighbours than this, or a 10,000th of all links, are hubs.
+HUB = 256
 _LOW = 0x5555555555555555
 
 
@@ -47,15 +59,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def group_masks() -> list[int]:
-    """The bits of each group of segments; 32 segments in 6 groups of nearly equal size."""
-    edges = [round(i * 32 / GROUPS) * SEGMENT_BITS for i in range(GROUPS + 1)]
+def group_masks(groups: int) -> list[int]:
+    """The bits of each group of segments; 32 segments in groups of nearly equal size."""
+    edges = [round(i * 32 / groups) * SEGMENT_BITS for i in range(groups + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
-CHOICES = list(combinations(range(GROUPS), GROUPS - MOST_BITS))
-
-
 def shingle_hashes(text: bytes) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -102,27 +111,56 @@ def segment_counts(fp: Column) -> Column:
     return fp.bitwiseOR(next_).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_).bitwiseAND(low), 1))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints of ``fps`` at 3 or fewer differing bits, each once."""
-    masks = group_masks()
-    cells = F.array(*[F.struct(F.lit(c).alias("choice"), F.col("code").bitwiseAND(F.lit(_signed(sum(masks[g] for g in chosen)))).alias("cell")) for c, chosen in enumerate(CHOICES)])
-    grid = fps.select("fp", segment_counts(F.col("fp")).alias("code")).select("fp", "code", F.explode(cells).alias("x")).select("fp", "code", "x.*")
+def cells(fps: DataFrame, groups: int) -> DataFrame:
+    """fp, code, choice (of groups) and cell (their counts): a row for each cell that a fingerprint lies in."""
+    masks = group_masks(groups)
+    each = [F.struct(F.lit(c).alias("choice"), F.col("code").bitwiseAND(F.lit(_signed(sum(masks[g] for g in chosen)))).alias("cell")) for c, chosen in enumerate(combinations(range(groups), groups - MOST_BITS))]
+    return fps.select("fp", segment_counts(F.col("fp")).alias("code")).select("fp", "code", F.explode(F.array(*each)).alias("x")).select("fp", "code", "x.*")
+
+
+def pairs(grid: DataFrame, *by: str, also: Column | None = None) -> DataFrame:
+    """Linked pairs a < b of rows that share the columns ``by``, and for which ``also`` holds."""
     a, b = grid.alias("a"), grid.alias("b")
-    apart = F.col("a.code").bitwiseXOR(F.col("b.code"))
-    equal = sum(((apart.bitwiseAND(F.lit(_signed(m))) == 0).cast("int") * (1 << g) for g, m in enumerate(masks)), F.lit(1))
-    first = {}
-    for c, chosen in enumerate(CHOICES):
-        for rest in range(1 << GROUPS):
-            groups = tuple(g for g in range(GROUPS) if rest >> g & 1)
-            if groups[: GROUPS - MOST_BITS] == chosen:
-                first[rest] = c
-    told = F.element_at(F.array(*[F.lit(first.get(i, -1)) for i in range(1 << GROUPS)]), equal)
-    near = (F.bit_count(apart) <= MOST_BITS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS)
-    on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-    return a.join(b, on & near & (told == F.col("a.choice"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-
-
-def components(edges: DataFrame, s: Scratch) -> DataFrame:
+    on = F.col("a.fp") < F.col("b.fp")
+    if also is not None:
+        on = on & also
+    for c in by:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    near = (F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= MOST_BITS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS)
+    return a.join(b, on & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def blocked(grid: DataFrame, full: DataFrame, cell: int) -> DataFrame:
+    """Linked pairs within full cells (choice, cell, n), cut into blocks of about ``cell`` rows; each pair of blocks is a key of its own."""
+    blocks = F.ceil(F.col("n") / cell).cast("int")
+    rows = grid.join(full, ["choice", "cell"]).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("p"), F.greatest(i, F.col("own")).alias("q")))
+    rows = rows.select("fp", "code", "choice", "cell", "own", F.explode(others).alias("x")).select("fp", "code", "choice", "cell", "own", "x.*")
+    # rows of one block meet under its own key only
+    return pairs(rows, "choice", "cell", "p", "q", also=(F.col("a.own") != F.col("b.own")) | (F.col("a.p") == F.col("a.q")))
+
+
+def links(fps: DataFrame, s: Scratch, cell: int = CELL, grids: tuple[int, ...] = GRIDS) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints of ``fps`` at 3 or fewer differing bits, each at least once."""
+    found = []
+    for level, n in enumerate(grids):
+        grid = cells(fps, n)
+        shared = s.save(grid.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        full = shared.filter(F.col("n") > cell)
+        found.append(s.save(pairs(grid.join(shared.filter(F.col("n") <= cell), ["choice", "cell"], "left_semi"), "choice", "cell")))
+        if full.isEmpty():
+            break
+        if level + 1 == len(grids):
+            found.append(s.save(blocked(grid, full, cell)))
+        else:
+            fps = s.save(grid.join(full, ["choice", "cell"], "left_semi").select("fp").distinct())
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def components(edges: DataFrame, s: Scratch, hub: int = HUB) -> DataFrame:
     """(node, root) of every node that has an edge, the root being the least of its component.
 
     Large-star: each node links its larger neighbours to its least neighbour;
@@ -133,16 +171,24 @@ def components(edges: DataFrame, s: Scratch) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = s.save(edges.select("a", "b"))
+    def looked_up(rows: DataFrame, key: str, least: DataFrame, size: int) -> DataFrame:
+        """Rows with ``m`` of their node ``key``. Fewer than 20,000 nodes are hubs, as the degrees sum to twice the edges: broadcast."""
+        most = max(hub, size // 10_000)
+        hubs = F.broadcast(least.filter(F.col("n") > most).drop("n"))
+        some = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(least.filter(F.col("n") <= most).drop("n"), key)
+        return rows.join(hubs, key).unionByName(some)
+
+    now = s.save(edges.select("a", "b").distinct())
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = s.save(both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("x")).select("x.*")
+        least = s.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = s.save(looked_up(both.filter("v > u"), "u", least, seen[0]).filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
+        s.drop(least)
+        least = s.save(large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = looked_up(large, "b", least, seen[0]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("x")).select("x.*")
         after = s.save(small.filter("a <> b").distinct())
-        s.drop(now, large)
+        s.drop(now, large, least)
         now, old, seen = after, seen, mark(after)
         if old == seen:
             break
@@ -154,7 +200,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     s = Scratch(docs.sparkSession, "simhash")
     rows = s.save(fingerprints(docs))
     fps = s.save(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
-    stars = s.save(components(links(fps), s))
+    stars = s.save(components(links(fps.select("fp"), s), s))
     linked = stars.join(fps, stars["node"] == fps["fp"]).select("fp", "root", "first")
     least = s.save(linked.groupBy("root").agg(F.min("first").alias("least")))
     moved = stars.join(least, "root").select(F.col("node").alias("fp"), "least")
@@ -171,7 +217,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all its columns."""
     _, classes, s = groups(docs)
-    kept = s.save(classes.select(F.col("first.doc_id").alias("__near_id"), F.col("first.key").alias("__near_key")).distinct())
-    own = docs.withColumn("__near_key", F.xxhash64(text_of())).withColumn("__near_id", F.col("doc_id").cast("long"))
-    same = own["__near_id"].eqNullSafe(kept["__near_id"]) & (own["__near_key"] == kept["__near_key"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["__near_id", "__near_key"]).select(*docs.columns)
+    id_, key = free_names(docs, "_near_id", "_near_key")
+    kept = s.save(classes.select(F.col("first.doc_id").alias(id_), F.col("first.key").alias(key)).distinct())
+    own = docs.select(*columns_of(docs), F.xxhash64(text_of()).alias(key), F.col("doc_id").cast("long").alias(id_))
+    same = own[id_].eqNullSafe(kept[id_]) & (own[key] == kept[key])
+    return own.join(kept, same, "left_semi").dropDuplicates([id_, key]).select(*columns_of(docs))
