@@ -16,9 +16,11 @@ with the add-one unigram.
 Counts cover every training token. Each task reads its documents into blocks
 with a vocabulary of bounded size, and tells per block: the documents as local
 word numbers, the vocabulary with counts and neighbouring units, and the unit
-bigrams. These are summed by word, where a word has one row per block, so no
-word is hot, and classes and counts go back to the blocks, where class bigrams
-are counted and documents coded for scoring. Texts themselves never move.
+bigrams. A word's neighbours are told as classes, so its row has a bounded size,
+and a task adds up the rows of a word, one per block, as they come: it holds one
+vector and where the answers go, never the rows. Classes and counts go back to
+the blocks, where class bigrams are counted and documents coded for scoring.
+Texts themselves never move.
 
 Edge cases: null and empty texts have the end token alone; rows without doc_id
 are held out; without training documents V and N are 0 and every score is the
@@ -71,13 +73,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bool, li
                 yield i, h, t.lower().split()  # of bytes: only A-Z change, and only the six separators split
 
 
-def frequent_words(docs: DataFrame) -> list[bytes]:
-    """Words of at least one training token in RARE, by count.
+def frequent_words(docs: DataFrame, rare: int = RARE) -> list[bytes]:
+    """Words of at least one training token in ``rare``, by count.
 
     Candidates come from stretches of the tasks, which tell the words of at
-    least one token in RARE * FINER there. What a frequent word has in stretches
+    least one token in rare * FINER there. What a frequent word has in stretches
     that don't tell it is less than 1 / FINER of the limit, so at most
-    RARE * FINER / (FINER - 1) words can be frequent; these are counted anew.
+    rare * FINER / (FINER - 1) words can be frequent; these are counted anew.
     """
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +95,14 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
         yield told(count, total)
 
     def told(count: Counter, total: int) -> pa.RecordBatch:
-        some = [(w, n) for w, n in count.items() if n * RARE * FINER >= total]
+        some = [(w, n) for w, n in count.items() if n * rare * FINER >= total]
         return pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in some)], pa.binary()), pa.array([total, *(n for _, n in some)], pa.int64())], ["word", "n"])
 
     sums = map_batches(_rows(docs), stretches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     s = Scratch(docs.sparkSession, "frequent")
     sums = s.save(sums)
     total = sums.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    likely = sums.filter((F.col("n") * (RARE * FINER) >= total * (FINER - 1)) & F.col("word").isNotNull())
+    likely = sums.filter((F.col("n") * (rare * FINER) >= total * (FINER - 1)) & F.col("word").isNotNull())
     known = {bytes(r["word"]) for r in likely.select("word").collect()}
     s.drop(sums)
 
@@ -112,7 +114,7 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
     counts = map_batches(_rows(docs), recount, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.filter(F.col("n") * RARE >= total).orderBy(F.desc("n"), "word").collect()]
+    return [bytes(r["word"]) for r in counts.filter(F.col("n") * rare >= total).orderBy(F.desc("n"), "word").collect()]
 
 
 def shape(word: bytes) -> int:
@@ -127,6 +129,8 @@ _FIELDS = pa.schema([("kind", pa.int32()), ("blk", pa.int64()), ("doc_id", pa.in
 DOC, WORD, PAIR = 0, 1, 2
 #: A neighbour is 2 * unit, plus 1 if it follows, above this many bits for how often; larger counts take several.
 NEAR_BITS = 18
+#: The same for neighbours told as classes.
+TOLD_BITS = 24
 
 
 def _batch(**columns: pa.Array) -> pa.RecordBatch:
@@ -147,12 +151,17 @@ def neighbours(joined: np.ndarray, of: np.ndarray, rare: np.ndarray, end: int, w
     first = np.flatnonzero(np.diff(key, prepend=-1))
     n = np.diff(first, append=len(key))
     word, code = np.divmod(key[first], wide)
-    most = (1 << NEAR_BITS) - 1
+    return entries_with_counts(word, code, n, NEAR_BITS, words)
+
+
+def entries_with_counts(row: np.ndarray, code: np.ndarray, n: np.ndarray, bits: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, entries) of codes with counts above ``bits`` bits, as many entries as a count needs; rows ascend."""
+    most = (1 << bits) - 1
     parts = -(-n // most)
     last = np.cumsum(parts) - 1
-    entries = np.repeat(code << NEAR_BITS, parts) + most
+    entries = np.repeat(code << bits, parts) + most
     entries[last] += n - parts * most
-    return np.searchsorted(np.repeat(word, parts), np.arange(words + 1)), entries.astype(np.int32)
+    return np.searchsorted(np.repeat(row, parts), np.arange(rows + 1)), entries.astype(np.int32)
 
 
 def blocks(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
@@ -301,41 +310,85 @@ def word_classes(words: DataFrame, of: np.ndarray, pairs: np.ndarray) -> DataFra
     pairs = one.T @ pairs @ one
     wide = 2 * (CLASSES + 1)
 
-    def told(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        size = rows.num_rows
-        rows = rows.combine_chunks()
-        lengths = np.diff(starts, append=size)
-        group = np.repeat(np.arange(len(starts)), lengths)
-        total = np.add.reduceat(rows["n"].to_numpy(), starts)
-        was = of[rows["unit"].to_numpy()[starts]]
-        near = rows["near"].combine_chunks().cast(pa.binary())
-        edge = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + size + 1]
+    def entries_of(near: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, entries): entries[edges[i] : edges[i + 1]] are those of row i."""
+        edge = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1]
         entries = np.frombuffer(near.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]].view(np.int32)
-        code = entries >> NEAR_BITS
-        key = np.repeat(group, np.diff(edge) // 4) * wide + (code & 1) * (CLASSES + 1) + of[code >> 1]
-        key, at = np.unique(key, return_inverse=True)
-        n = np.bincount(at, entries & ((1 << NEAR_BITS) - 1), len(key))
+        return (edge - edge[0]) // 4, entries
+
+    def as_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            edge, entries = entries_of(batch.column(5).cast(pa.binary()))
+            code = entries >> NEAR_BITS
+            key = np.repeat(np.arange(size) * wide, np.diff(edge)) + (code & 1) * (CLASSES + 1) + of[code >> 1]
+            key, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, entries & ((1 << NEAR_BITS) - 1), len(key)).astype(np.int64)
+            edge, entries = entries_with_counts(key // wide, key % wide, n, TOLD_BITS, size)
+            near = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((4 * edge).astype(np.int32)), pa.py_buffer(entries)])
+            was = pa.array(of[batch.column(4).to_numpy()].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], was, near], ["word", "blk", "lid", "n", "was", "near"])
+
+    def told(blk: np.ndarray, lid: np.ndarray, starts: np.ndarray, total: np.ndarray, was: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lengths = np.diff(starts, append=len(blk))
         cls = better_classes(key // wide, key % wide, n, was, total, pairs)
-        first = np.zeros(size, bool)
+        first = np.zeros(len(blk), bool)
         first[starts] = True
-        return pa.RecordBatch.from_arrays([rows["blk"].combine_chunks(), rows["lid"].combine_chunks(), pa.array(np.repeat(total, lengths)), pa.array(np.repeat(cls, lengths).astype(np.int32)), pa.array(first)], ["blk", "lid", "n", "cls", "first"])
+        columns = [blk, lid, np.repeat(total, lengths), np.repeat(cls, lengths).astype(np.int32), first]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["blk", "lid", "n", "cls", "first"])
+
+    def summed(rows: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(total, was, key, n) of the words that start there."""
+        edge, entries = entries_of(rows.column(5).cast(pa.binary()))
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=rows.num_rows))
+        key = np.repeat(group, np.diff(edge)) * wide + (entries >> TOLD_BITS)
+        key, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at, entries & ((1 << TOLD_BITS) - 1), len(key))
+        return np.add.reduceat(rows.column(3).to_numpy(), starts), rows.column(4).to_numpy()[starts], key, n
+
+    class Open:
+        """The word that the next batch may go on with: its sums, and where the answer goes."""
+
+        def __init__(self, word: bytes):
+            self.word, self.places, self.total, self.near = word, [], 0, np.zeros(wide)
+
+        def add(self, rows: pa.RecordBatch) -> None:
+            total, was, key, n = summed(rows, np.zeros(1, np.int64))
+            self.places.append((rows.column(1).to_numpy(), rows.column(2).to_numpy()))
+            self.total, self.was = self.total + total, was
+            self.near[key] += n
+
+        def told(self) -> pa.RecordBatch:
+            blk, lid = (np.concatenate(x) for x in zip(*self.places, strict=True))
+            key = np.flatnonzero(self.near)
+            return told(blk, lid, np.zeros(1, np.int64), self.total, self.was, key, self.near[key])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        open_ = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            if not rows.num_rows:
+            if not batch.num_rows:
                 continue
-            word = rows["word"].combine_chunks()
+            word = batch.column(0)
             starts = np.append(0, 1 + np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)))
-            if len(starts) > 1:
-                yield told(rows.slice(0, starts[-1]), starts[:-1])
-            rest = rows.slice(starts[-1])  # the last word may go on
-        if rest is not None and rest.num_rows:
-            yield told(rest, np.zeros(1, np.int64))
-
-    rows = words.select("word", "blk", "lid", "n", "unit", "near").repartition(shuffle_partitions(words.sparkSession), "word").sortWithinPartitions("word", "blk")
+            at = 0
+            if open_ is not None and word[0].as_py() == open_.word:
+                open_.add(batch.slice(0, starts[1] if len(starts) > 1 else batch.num_rows))
+                at = 1
+            if at == len(starts):
+                continue
+            if open_ is not None:
+                yield open_.told()
+            middle = batch.slice(starts[at], starts[-1] - starts[at])
+            if middle.num_rows:
+                some = starts[at:-1] - starts[at]
+                yield told(middle.column(1).to_numpy(), middle.column(2).to_numpy(), some, *summed(middle, some))
+            open_ = Open(word[int(starts[-1])].as_py())
+            open_.add(batch.slice(starts[-1]))
+        if open_ is not None:
+            yield open_.told()
+
+    rows = map_batches(words.select("word", "blk", "lid", "n", "unit", "near"), as_classes, "word binary, blk long, lid int, n long, was int, near binary")
+    rows = rows.repartition(shuffle_partitions(words.sparkSession), "word").sortWithinPartitions("word", "blk")
     return map_batches(rows, run, "blk long, lid int, n long, cls int, first boolean")
 
 
@@ -373,11 +426,11 @@ def score_tokens(model: Model, count: np.ndarray, unit: np.ndarray) -> tuple[int
     return int((count > 0).sum()), float(np.log10(base).sum()), float(np.log10(mixed).sum())
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     s = Scratch(spark, "lm")
-    frequent = frequent_words(docs)
+    frequent = frequent_words(docs, rare)
     table = s.save(blocks(docs, frequent), by="kind")
     units = len(frequent) + SHAPES + 1
     # at most units * units rows, a bound that doesn't depend on the corpus
