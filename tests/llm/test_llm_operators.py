@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-import zstandard
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siltstone.llm import classifier, exact_dedup, lm, mixing, packing, quality, simhash, substring, tokens, training_order, url_filter
+from siltstone.llm.common import Scratch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -44,8 +45,6 @@ def test_packing_round_trip(docs, no_docs, rows):
             assert offset == end
             end += length
         assert end <= 64
-    from tokenizers import Tokenizer
-
     plain = Tokenizer.from_file(tokens.default_path())
     wanted, got = Counter(), Counter()
     for i, t, _ in rows:
@@ -59,6 +58,15 @@ def test_packing_round_trip(docs, no_docs, rows):
     assert packing.pack(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 16, 211])
+def test_padding_does_not_depend_on_the_split(spark, partitions):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, max(1, int(rng.lognormal(4, 1)))))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    found = packing.pack(docs).agg(F.sum("length").alias("ids"), F.countDistinct("sequence_id").alias("windows")).first()
+    assert found["ids"] / found["windows"] / packing.WINDOW > 0.97
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 65, 500).tolist()
@@ -164,6 +172,19 @@ def test_url_filter(spark):
     assert url_filter.judge(pages, labels.limit(0)).filter("rule IS NULL AND verdict <> 'allow'").count() == 0
 
 
+def test_a_bad_host_without_a_rule_is_blocked(spark):
+    hosts = ["user@Bad.spam.com:8080"] * 80 + ["bad.spam.com"] * 40 + ["new.fine.org"] * 2 + ["10.0.0.7"] * 60 + ["good.site.co.uk"] * 300 + ["ok.fine.org."] * 300
+    urls = [(i, f"http://{h}/x") for i, h in enumerate(hosts)]
+    bad = lambda i: i < 110 or 120 <= i < 122 or 122 <= i < 180 or i % 10 == 0
+    labels = [(i, int(not bad(i)), 0) for i in range(len(hosts))]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    found = url_filter.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    verdict = {h.lower(): {r["verdict"] for r in found.filter(F.col("host") == h.lower()).collect()} for h in set(hosts)}
+    assert verdict == {"user@bad.spam.com:8080": {"block"}, "bad.spam.com": {"block"}, "10.0.0.7": {"block"}, "new.fine.org": {"allow"}, "good.site.co.uk": {"allow"}, "ok.fine.org.": {"allow"}}
+    levels = {r["name"]: (r["domain"], r["suffix"]) for r in found.select(url_filter.bare(F.col("host")).alias("name")).distinct().select("name", *(c.alias(n) for c, n in zip(url_filter.levels_of(F.col("name")), ("domain", "suffix")))).collect()}
+    assert levels["10.0.0.7"] == ("10.0.0.7", "10.0.0.7") and levels["good.site.co.uk"] == ("site.co.uk", "co.uk") and levels["ok.fine.org"] == ("fine.org", "org")
+
+
 def test_reputation_shrinks(spark):
     counts = [("bad.spam.com", 200, 190), ("new.spam.com", 2, 2), ("one.spam.com", 100, 96), ("good.site.com", 300, 6), ("new.site.com", 2, 2), ("fine.other.org", 500, 20)]
     rep = {r["host"]: r for r in url_filter.reputation(spark.createDataFrame(counts, "host string, n long, k long")).collect()}
@@ -212,6 +233,12 @@ def test_mixing(docs, no_docs, rows):
     assert sum(len(words(r["text"])) for r in many.collect()) == sum(taken.values())
 
 
+def test_rows_without_words_are_taken_at_most_three_times(spark):
+    rows = [(i, "" if i % 2 else "a b", "s0") for i in range(40)] + [(i, "x " * 500, "s1") for i in range(40, 60)]
+    many = Counter(r["doc_id"] for r in mixing.take(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert max(many.values()) <= 3 and many[0] >= 1
+
+
 @pytest.mark.parametrize("sizes", [{"a": 1, "b": 1000, "c": 5, None: 2}, {"a": 0, "b": 0}, {"a": 7}, {chr(97 + i): 3**i for i in range(9)}])
 def test_targets(spark, sizes):
     rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -240,15 +267,43 @@ def test_training_order(spark, docs, no_docs, tmp_path):
     for r in found:
         assert r["offset"] == 65 * at[r["shard"]] and len(r["data"]) == 64
         at[r["shard"]] += 1
-    made = training_order.sequences(docs, tokens.default_path(), 32, 2, about["shards"], about["key"]).orderBy("number").collect()
-    assert [bytes(r["data"]) for r in found] == [zstandard.decompress(bytes(r["data"])) for r in made]
-    assert len({r["number"] for r in made}) == len(made)
-    ids = b"".join(tokens.encoder(tokens.default_path()).encode((r["text"] or "").encode()) + b"\1\0\0\0" for r in docs.collect())
-    assert 0 <= 32 * len(found) - len(ids) // 4 < 32 * docs.rdd.getNumPartitions()
-    assert sum(r["n_tokens"] for r in made) == len(ids) // 4
+    made = training_order.sequences(docs, None, 32, 2).orderBy("task", "place").collect()
+    assert len(made) == about["sequences"]
+    slots = training_order.feistel(np.arange(len(made)), len(made), about["key"]).tolist()
+    assert sorted(slots) == list(range(len(made))) and slots != sorted(slots)
+    assert [bytes(r["data"]) for r in found] == [bytes(made[slots.index(i)]["data"]) for i in range(len(made))]
+    assert all(r["shard"] == r["slot"] // about["shard_records"] for r in found)
+    plain = Tokenizer.from_file(tokens.default_path())
+    ids = Counter(i for r in docs.collect() for i in [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 1])
+    got = Counter(np.concatenate([np.frombuffer(bytes(r["data"]), "<u2")[: r["n_tokens"]] for r in made]).tolist())
+    assert got == ids and 0 <= 32 * len(found) - ids.total() < 32 * docs.rdd.getNumPartitions()
     half = training_order.records(spark, place, about, first=13).collect()
     assert sorted((r["slot"], bytes(r["data"])) for r in half) == [(r["slot"], bytes(r["data"])) for r in found[13:]]
+    some = [x.tobytes() for x in training_order.read_from(spark, place, about, 50, 100)]
+    assert some == [bytes(r["data"]) for r in found[50:150]]
     assert training_order.training_order(no_docs).count() == 0
+    with pytest.raises(Exception, match="doesn't fit 1 bytes"):
+        training_order.sequences(docs, None, 32, 1).count()
+
+
+def feistel_by_hand(x, n, key):
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    full = (1 << 64) - 1
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for r in range(training_order.ROUNDS):
+            f = ((right ^ ((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & full)) * 0xBF58476D1CE4E5B9) & full
+            f = ((f ^ (f >> 29)) * 0x94D049BB133111EB) & full
+            left, right = right, left ^ ((f ^ (f >> 32)) & ((1 << half) - 1))
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 1000, 70_000])
+def test_feistel_by_hand(n):
+    some = list(range(0, n, max(1, n // 300)))
+    assert training_order.feistel(np.array(some), n, 99).tolist() == [feistel_by_hand(x, n, 99) for x in some]
 
 
 # -- classifier
@@ -271,6 +326,49 @@ def test_classifier(spark, docs, no_docs, rows):
     assert {r["score"] for r in classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_ftrl_by_hand():
+    rng = np.random.default_rng(8)
+    z, n, model = defaultdict(float), defaultdict(float), classifier.Ftrl()
+
+    def weight(i):
+        if abs(z[i]) <= classifier.L1:
+            return 0.0
+        return -(z[i] - math.copysign(classifier.L1, z[i])) / ((classifier.BETA + math.sqrt(n[i])) / classifier.ALPHA + classifier.L2)
+
+    for _ in range(300):
+        at = rng.choice(40, 6, replace=False)
+        x, y = rng.normal(size=6), float(rng.integers(0, 2))
+        model.learn(at, x, y)
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at.tolist(), x))))
+        for i, v in zip(at.tolist(), x):
+            g, w = (p - y) * v, weight(i)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / classifier.ALPHA * w
+            n[i] += g * g
+    assert np.allclose(model.weights(np.arange(40)), [weight(i) for i in range(40)]) and any(z.values())
+
+
+def test_features_by_hand():
+    text = "the cat, the cat!! the dog the cat, the"
+    found = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", text)
+    assert found == ["the", "cat", ",", "the", "cat", "!!", "the", "dog", "the", "cat", ",", "the"]
+    places, x = classifier.features(text.encode())
+    grams = Counter(found) + Counter(zip(found, found[1:]))
+    values = sorted(math.log1p(c) for c in grams.values())
+    norm = math.sqrt(sum(v * v for v in values))
+    assert len(set(places.tolist())) == len(places) == 2 + len(grams)
+    assert np.allclose(sorted(x[2:]), [v / norm for v in values])
+    threes = list(zip(found, found[1:], found[2:]))
+    assert x[0] == 1 and math.isclose(x[1], (len(threes) - len(set(threes))) / len(threes))
+
+
+def test_a_labelled_doc_id_is_learned_from_once(spark):
+    rows = [(1, "good words here"), (2, "bad $$$ words")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame(rows * 50, "doc_id long, text string")
+    assert classifier.train(once, labels) == classifier.train(many, labels)
+
+
 # -- substring dedup
 
 
@@ -288,9 +386,14 @@ def brute_substring(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("window", "hot"), [(35, 8000), (10, 8000), (10, 1)])
-def test_substring_dedup(docs, rows, window, hot):
-    assert by_row(substring.substring_dedup(docs, window, hot=hot)) == brute_substring(rows, window)
+@pytest.mark.parametrize(("window", "most"), [(35, 1000), (10, 1000), (10, 3), (10, 1), (35, 2)])
+def test_substring_dedup(docs, rows, window, most):
+    assert by_row(substring.substring_dedup(docs, window, most=most)) == brute_substring(rows, window)
+
+
+def test_deep_nodes():
+    found = substring.deep_nodes([(b"b", 1), (b"a", 2), (b"b", 3), (b"c", 4), (b"a", 5), (b"b", 6)])
+    assert found == [[2, 5], [1, 3, 6]]
 
 
 def test_substring_of_nothing(no_docs):
@@ -345,7 +448,8 @@ def test_simhash(docs, no_docs, rows):
     assert simhash.near_dedup(no_docs).count() == 0 and simhash.keep_first(no_docs).count() == 0
 
 
-def test_links_lose_none(spark):
+@pytest.mark.parametrize(("cell", "grids"), [(256, simhash.GRIDS), (3, simhash.GRIDS), (2, (6, 7)), (1, (6,))])
+def test_links_lose_none(spark, cell, grids):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     fps = set(map(int, base))
@@ -353,16 +457,24 @@ def test_links_lose_none(spark):
         for n in (1, 2, 3, 4):
             fps.add(int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)))
     some = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    found = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in some], "fp long")).collect()}
+    linked = simhash.links(spark.createDataFrame([(x,) for x in some], "fp long"), Scratch(spark, "links"), cell, grids)
+    found = {(r["a"], r["b"]) for r in linked.collect()}
     assert found == {(a, b) for i, b in enumerate(some) for a in some[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-    assert simhash.links(spark.createDataFrame([(x,) for x in some], "fp long")).count() == len(found)
 
 
-def test_components_of_a_chain(spark):
-    from siltstone.llm.common import Scratch
+def test_manhattan_distance_is_a_lower_bound():
+    counts = lambda x: [(x >> i & 3).bit_count() for i in range(0, 64, 2)]
+    rng = np.random.default_rng(6)
+    for a, b in rng.integers(0, 2**63, (500, 2)).tolist():
+        assert sum(abs(x - y) for x, y in zip(counts(a), counts(b))) <= (a ^ b).bit_count()
+    for n in simhash.GRIDS:
+        assert sum(simhash.group_masks(n)) == (1 << 64) - 1
 
+
+@pytest.mark.parametrize("hub", [256, 1])
+def test_components_of_a_chain(spark, hub):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (150, 200)], "a long, b long")
-    roots = {r["node"]: r["root"] for r in simhash.components(edges, Scratch(spark, "chain")).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(edges, Scratch(spark, "chain"), hub).collect()}
     assert roots == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
 
 
@@ -388,6 +500,75 @@ def test_lm(docs, no_docs, rows):
     assert lm.score(no_docs).count() == 0
 
 
+def brute_lm(rows, rare):
+    """The score of each row, from one pass over everything in memory."""
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [(held(i), [w.encode().lower() for w in words(t)]) for i, t, _ in rows]
+    count = Counter(w for h, t in texts if not h for w in t)
+    frequent = sorted((w for w in count if count[w] * rare >= count.total()), key=lambda w: (-count[w], w))
+    unit = {w: frequent.index(w) if w in frequent else len(frequent) + lm.shape(w) for _, t in texts for w in t}
+    end, k = len(frequent) + lm.SHAPES, lm.CLASSES
+    bigrams = Counter(x for h, t in texts if not h for x in zip([None, *t], [*t, None]))
+    pairs = np.zeros((end + 1, end + 1))
+    for (a, b), n in bigrams.items():
+        pairs[unit.get(a, end), unit.get(b, end)] += n
+    of = lm.exchange(pairs)
+    assert of[end] == k
+    cell = np.zeros((k + 1, k + 1))
+    for a in range(end + 1):
+        for b in range(end + 1):
+            cell[of[a], of[b]] += pairs[a, b]
+    beside = defaultdict(Counter)  # (class, whether it follows) of each word
+    for (a, b), n in bigrams.items():
+        beside[a][of[unit.get(b, end)], 1] += n
+        beside[b][of[unit.get(a, end)], 0] += n
+    first, second = cell.sum(1) + 1, cell.sum(0) + 1
+    cls = {w: int(of[u]) for w, u in unit.items()}
+    for w in count.keys() - set(frequent):
+        was, value = cls[w], np.zeros(k)
+        for (x, after), n in beside[w].items():
+            chance = (second[x] if after else first[x]) * lm.PRIOR / (first.sum())
+            for c in range(k):
+                both, own = (cell[c, x] if after else cell[x, c]), cell[:, c].sum()
+                if c == was:
+                    both, own = max(both - n, 0), max(own - count[w], 0)
+                value[c] += n * math.log((both + chance) / (own + lm.PRIOR))
+        if value.max() > value[was] + 1e-9:
+            cls[w] = int(value.argmax())
+    final = np.zeros((k + 1, k + 1))
+    for (a, b), n in bigrams.items():
+        final[cls.get(a, k), cls.get(b, k)] += n
+    types = Counter(cls[w] for w in count)
+    ends, tokens_ = sum(not h for h, _ in texts), count.total() + sum(not h for h, _ in texts)
+    kinds = len(count) + (ends > 0)
+    seen = final.sum(0)
+    out = []
+    for _, t in texts:
+        total, at = 0.0, k
+        for w in [*t, None]:
+            c, n = cls.get(w, k), ends if w is None else count[w]
+            base = (n + 1) / (tokens_ + kinds + 1)
+            step = (final[at, c] + lm.PRIOR * (seen[c] + 1) / (seen.sum() + k + 1)) / (final[at].sum() + lm.PRIOR)
+            emitted = 1.0 if w is None else (n + 1) / (seen[c] + types[c] + 1)
+            total += math.log10(lm.MIX * step * emitted + (1 - lm.MIX) * base)
+            at = c
+        out.append(total)
+    return out
+
+
+def test_lm_score_by_hand(docs, rows):
+    expected = sorted(((r[0], len(words(r[1])) + 1, x) for r, x in zip(rows, brute_lm(rows, 200), strict=True)), key=lambda x: (x[0] is None, x))
+    found = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in lm.score(docs, 200).collect()), key=lambda x: (x[0] is None, x))
+    assert [x[:2] for x in found] == [x[:2] for x in expected]
+    assert np.allclose([x[2] for x in found], [x[2] for x in expected], rtol=1e-12, atol=1e-9)
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_lm_score_does_not_depend_on_the_split(spark, docs, partitions):
+    here = by_row(lm.score(docs, 200).select("doc_id", "n_tokens", F.round("score", 9)))
+    assert by_row(lm.score(docs.repartition(partitions), 200).select("doc_id", "n_tokens", F.round("score", 9))) == here
+
+
 def test_frequent_words_of_uneven_stretches(spark):
     ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2][:4]
     # 160,000 tokens: the limit is 80, and one in 16,000 of a stretch is 2.5
