@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from hashlib import md5
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -62,6 +63,11 @@ def hash48(item: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), item).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
+def hash48_of(item: str, salt: str) -> int:
+    """The same number for the driver."""
+    return int(md5((salt + item).encode()).hexdigest()[:12], 16)
+
+
 def positions(item: Column, params: BloomParams) -> Column:
     """Array of the bit positions of an item, by double hashing with an odd step."""
     h1, h2 = hash48(item, "a"), hash48(item, "b").bitwiseOR(F.lit(1).cast("long"))

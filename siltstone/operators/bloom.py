@@ -37,7 +37,34 @@ def clear(filter_: DataFrame) -> DataFrame:
     return filter_.limit(0)
 
 
-def _is_set(bits: Column, bit: Column) -> Column:
+def partition(filter_: DataFrame, part: int) -> DataFrame:
+    """One part of a filter."""
+    return filter_.filter(F.col("part") == part)
+
+
+def with_partition(filter_: DataFrame, part: int, rows: DataFrame) -> DataFrame:
+    """The filter with one part replaced."""
+    return filter_.filter(F.col("part") != part).unionByName(rows.select(F.lit(part).alias("part"), "bucket", "bits"))
+
+
+def to_bytes(filter_: DataFrame, params: BloomParams) -> DataFrame:
+    """part and data of each part: its bits in order, at most 12.5 MB by the bound on a filter's size."""
+    buckets = -(-params.bits // BUCKET_BITS)
+    held = filter_.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), F.hex("bits")))).alias("held"))
+    empty = F.lit("00" * (BUCKET_BITS // 8))
+    data = F.unhex(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("held", i), empty))))
+    return held.select("part", F.substring(data, 1, -(-params.bits // 8)).alias("data"))
+
+
+def from_bytes(stored: DataFrame) -> DataFrame:
+    """The filter of rows (part, data)."""
+    size = BUCKET_BITS // 8
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / size).cast("int")), lambda i: F.struct(i.cast("long").alias("bucket"), F.substring(F.col("data"), i * size + 1, F.lit(size)).alias("bits")))
+    rows = stored.select("part", F.explode(cut).alias("x")).select("part", "x.*")
+    return rows.withColumn("bits", F.concat("bits", F.unhex(F.repeat(F.lit("00"), size - F.octet_length("bits")))))
+
+
+def is_set(bits: Column, bit: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.coalesce((F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1), F.lit(False))
 
@@ -46,7 +73,7 @@ def probe(items: DataFrame, filter_: DataFrame, params: BloomParams, item: str =
     """Distinct asked items with ``may_contain``. An item none of whose buckets exist is told false."""
     rows = _placed(items.select(item).distinct(), F.col(item).cast("string"), params, item)
     hit = rows.join(filter_, ["part", "bucket"], "left")
-    return hit.groupBy(item).agg((F.count_if(_is_set(F.col("bits"), F.col("bit"))) == params.hashes).alias("may_contain"))
+    return hit.groupBy(item).agg((F.count_if(is_set(F.col("bits"), F.col("bit"))) == params.hashes).alias("may_contain"))
 
 
 def probe_batch(items: DataFrame, filter_: DataFrame | None, params: BloomParams, item: str = "key", place: str = "place") -> DataFrame:

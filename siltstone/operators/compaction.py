@@ -30,8 +30,8 @@ def tier_groups(infos: DataFrame, ratio: float, min_group: int, *by: str) -> Dat
     return rows.select(*by, (F.dense_rank().over(w) - 1).alias("group"), "idx", "size_bytes")
 
 
-def merge(segments: list[DataFrame], drop_tombstones: bool = False) -> DataFrame:
-    """One row per key from segments (key, value, tombstone, ...) in order, later ones winning.
+def merge(segments: list[DataFrame], drop_tombstones: bool = False, by: str | None = None) -> DataFrame:
+    """One row per key from segments (key, value, tombstone, ...), the greatest ``by`` winning, or by default the latest segment.
 
     ``drop_tombstones`` is for a merge that covers every older segment.
     """
@@ -39,5 +39,5 @@ def merge(segments: list[DataFrame], drop_tombstones: bool = False) -> DataFrame
     for i, s in enumerate(segments[1:], 1):
         rows = rows.unionByName(s.withColumn("_seq", F.lit(i)))
     kept = [c for c in segments[0].columns if c != "key"]
-    out = rows.groupBy("key").agg(F.max_by(F.struct(*kept), "_seq").alias("x")).select("key", "x.*")
+    out = rows.groupBy("key").agg(F.max_by(F.struct(*kept), by or "_seq").alias("x")).select("key", "x.*")
     return out.filter(~F.col("tombstone")) if drop_tombstones else out

@@ -33,8 +33,12 @@ class Manifest:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(self.path)
 
+    def rows(self) -> list:
+        """All rows in order: one for each segment, checkpoint and cut, which the driver plans with."""
+        return sorted(self.read().collect(), key=lambda r: r["seq"])
+
     def next_seq(self) -> int:
-        return (self.read().agg(F.max("seq")).first()[0] or 0) + 1
+        return max((r["seq"] for r in self.rows()), default=0) + 1
 
     def add(self, event: str, **fields: object) -> int:
         """One row, one commit. Sequence numbers only grow."""
@@ -44,4 +48,18 @@ class Manifest:
         return seq
 
     def segments(self) -> list:
-        return live_segments(self.read()).collect()
+        """Rows of live segments, in order."""
+        some = [r for r in self.rows() if r["event"] == "SEGMENT"]
+        replaced = {path for r in some for path in r["replaces"] or ()}
+        return [r for r in some if r["segment_path"] not in replaced]
+
+    def generation(self) -> str | None:
+        """Name of the log's folder that is in force; None before the first cut."""
+        return next((r["segment_path"] for r in reversed(self.rows()) if r["event"] == "LOG"), None)
+
+    def greatest_lsn(self) -> int:
+        return max((r["lsn"] or 0 for r in self.rows()), default=0)
+
+    def whole_from(self) -> int:
+        """The least LSN whose state can still be told: that of the last cut of the log or of its last flush."""
+        return max((r["lsn"] or 0 for r in self.rows() if r["event"] in ("LOG", "SEGMENT")), default=0)

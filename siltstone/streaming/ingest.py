@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.sources.log import STREAM
 from siltstone.table import KeyedTable
 
 
@@ -22,21 +23,15 @@ def last_of_batch(rows: DataFrame) -> DataFrame:
 
 
 def append_batch(table: KeyedTable, rows: DataFrame, batch_id: int, stream_id: int = 1) -> bool:
-    """Appends a batch unless it was appended before; tells whether it did.
+    """Appends a batch unless it, or a later one of its stream, was appended before; tells whether it did.
 
-    A batch's rows and the mark with its number are one commit of the log.
+    A batch's rows and the mark with its number are one commit of the log, and
+    the last mark of a stream stays when the log is cut.
     """
-    from siltstone.sources.log import with_checksum
-
-    mark = stream_id * 1_000_000_000 + batch_id
-    if not table.log.read().filter((F.col("op") == "BATCH") & (F.col("id") == mark)).isEmpty():
+    mark = stream_id * STREAM + batch_id
+    if not table.log.read().filter((F.col("op") == "BATCH") & F.col("id").between(mark, (stream_id + 1) * STREAM - 1)).isEmpty():
         return False
-    lsn = table.log.next_lsn()
-    null = F.lit(None)
-    data = last_of_batch(rows).select(F.lit(lsn).cast("long").alias("lsn"), "op", F.col("key").cast("string").alias("key"), F.col("value").cast("binary").alias("value"), null.cast("long").alias("id"), F.lit(0).cast("long").alias("txn_id"), F.current_timestamp().alias("ts"))
-    own = rows.sparkSession.range(1).select(F.lit(lsn).cast("long").alias("lsn"), F.lit("BATCH").alias("op"), null.cast("string").alias("key"), null.cast("binary").alias("value"), F.lit(mark).cast("long").alias("id"), F.lit(0).cast("long").alias("txn_id"), F.current_timestamp().alias("ts"))
-    with_checksum(data.unionByName(own)).write.mode("append").parquet(table.log.path)
-    table.log._next = lsn + 1
+    table.log.append_frame(last_of_batch(rows), None, mark=mark)
     return True
 
 
@@ -47,7 +42,6 @@ def ingest(stream: DataFrame, table: KeyedTable, checkpoint: str, every: str | N
         new = append_batch(table, rows, batch_id)
         if every and not table.log.read().filter(F.col("op").isin("PUT", "DEL", "CLEAR")).isEmpty():
             table.flush()  # also if a run before failed between append and flush
-            table.log.append([("BATCH", None, None, 1_000_000_000 + batch_id, 0)])  # the flush has cut the batch's mark
         elif new and flush_when_full and table.capacity is not None and table.unflushed_bytes() >= table.capacity:
             table.flush()
 

@@ -18,6 +18,7 @@ from siltstone import errors
 from siltstone.functions.bloom_math import BloomParams
 from siltstone.functions.codec import entry_size
 from siltstone.operators import bloom, compaction, fold, lookup, txn
+from siltstone.operators.index import STORAGE_REF, OrderedIndex
 from siltstone.schema import KeyRange
 from siltstone.sources import log as log_source
 from siltstone.sources import segment
@@ -27,33 +28,41 @@ Operation = tuple[str, str | None, bytes | None]
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, base_path: str, capacity: int | None = None, compaction_ratio: float = 1.5, use_bloom: bool = True, false_positive_rate: float = 0.01):
+    def __init__(self, spark: SparkSession, base_path: str, capacity: int | None = None, compaction_ratio: float = 1.5, use_bloom: bool = True, false_positive_rate: float = 0.01, bloom_partitions: int = 1):
         self.spark, self.base_path = spark, base_path.rstrip("/")
         self.capacity, self.compaction_ratio = capacity, compaction_ratio
         self.use_bloom, self.rate = use_bloom, false_positive_rate
-        self.log = log_source.Log(spark, f"{self.base_path}/log")
+        self.bloom_partitions = bloom_partitions
         self.manifest = Manifest(spark, f"{self.base_path}/manifest")
+        self.log = log_source.Log(spark, f"{self.base_path}/log", self.manifest)
         self._transactions: dict[int, str] = {}
         self._next_txn = 1
 
     # -- reading
 
-    def _snapshot(self) -> DataFrame | None:
-        """Last writes of all live segments, tombstones included."""
+    def _snapshot(self, key: str | None = None) -> DataFrame | None:
+        """Last writes of all live segments, tombstones included; for one key, of those whose filters don't rule it out."""
         live = self.manifest.segments()
+        if key is not None:
+            filtered = [r["segment_path"] for r in live if r["has_bloom_filter"]]
+            hit = set(segment.may_contain(self.spark, filtered, key)) if filtered else set()
+            live = [r for r in live if not r["has_bloom_filter"] or r["segment_path"] in hit]
+        self.segments_read = len(live)
         if not live:
             return None
-        parts = [segment.read(self.spark, r["segment_path"], r["format_version"]).select("key", "value", "lsn", "tombstone") for r in live]
+        parts = [segment.checked(segment.read(self.spark, r["segment_path"], r["format_version"])).select("key", "value", "lsn", "tombstone") for r in live]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
-    def state(self, where: Column | None = None, upto_lsn: int | None = None) -> DataFrame:
-        """key, value, lsn of live entries. ``where`` is about the key and goes below the fold."""
+    def state(self, where: Column | None = None, upto_lsn: int | None = None, key: str | None = None) -> DataFrame:
+        """key, value, lsn of live entries. ``where`` is about the key and goes below the fold; ``key`` is the only one asked for."""
+        if key is not None:
+            where = F.col("key") == key
         tail = fold.committed(fold.upto(self.log.read(), upto_lsn))
         rows = tail.filter(F.col("op").isin("PUT", "DEL")).select("key", "value", "lsn", (F.col("op") == "DEL").alias("tombstone"))
-        snapshot = self._snapshot()
+        snapshot = self._snapshot(key)
         if snapshot is not None:
             rows = rows.unionByName(fold.upto(snapshot, upto_lsn))
         rows = rows.filter(F.col("lsn") > fold.last_clear(tail))
@@ -63,11 +72,11 @@ class KeyedTable:
         return last.filter(~F.col("x.tombstone")).select("key", "x.value", "lsn")
 
     def get(self, key: str) -> bytes | None:
-        row = self.state(F.col("key") == key).first()
+        row = self.state(key=key).first()
         return None if row is None else bytes(row["value"])
 
     def contains_key(self, key: str) -> bool:
-        return not self.state(F.col("key") == key).isEmpty()
+        return not self.state(key=key).isEmpty()
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return lookup.multi_get(self.state().select("key", "value"), keys)
@@ -94,9 +103,26 @@ class KeyedTable:
         return self.capacity is not None and self.size_bytes() >= self.capacity
 
     def as_of(self, lsn: int) -> DataFrame:
-        """State at an LSN, as far back as the log and segments reach."""
+        """State at an LSN; an error before the last flush, as segments have the last writes only."""
+        if lsn < (least := self.manifest.whole_from()):
+            raise errors.InvalidOperation(f"the state at LSN {lsn} is gone; the oldest is that at {least}")
         return self.state(upto_lsn=lsn)
 
+    def index(self) -> OrderedIndex:
+        """The ordered index: unflushed entries with their value, flushed ones with the place in their segment."""
+        tail = fold.committed(self.log.read())
+        none = F.lit(None)
+        rows = tail.filter(F.col("op").isin("PUT", "DEL")).select("key", "value", none.cast(STORAGE_REF).alias("storage_ref"), "lsn")
+        for r in self.manifest.segments():
+            found = segment.index(self.spark, r["segment_path"]).join(segment.read(self.spark, r["segment_path"]).select("key", "lsn"), "key")
+            rows = rows.unionByName(found.select("key", none.cast("binary").alias("value"), "storage_ref", "lsn"))
+        return OrderedIndex(fold.index_entries(rows.filter(F.col("lsn") > fold.last_clear(tail))))
+
+    def load(self, index: OrderedIndex) -> DataFrame:
+        """key and value of an index's live entries, those with a reference read where it points."""
+        live = index.live()
+        return live.filter("storage_ref IS NULL").select("key", "value").unionByName(segment.load(self.spark, live.filter("storage_ref IS NOT NULL")))
+
     # -- writing
 
     def _admit(self, key: str, value: bytes) -> bytes | None:
@@ -121,13 +147,13 @@ class KeyedTable:
 
     def insert(self, key: str, value: bytes) -> bytes | None:
         old = self._admit(key, value)
-        self.log.append([("PUT", key, value, None, 0)])
+        self.execute_transaction(("PUT", key, value))
         return old
 
     def remove(self, key: str) -> bytes | None:
         """Old value; a missing key is no error."""
         old = self.get(key)
-        self.log.append([("DEL", key, None, None, 0)])
+        self.execute_transaction(("DEL", key, None))
         return old
 
     def delete_existing(self, key: str) -> bytes:
@@ -144,28 +170,37 @@ class KeyedTable:
         return self.log.append_frame(keys, "DEL")[1]
 
     def clear(self) -> None:
-        self.log.append([("CLEAR", None, None, None, 0)])
+        self.execute_transaction(("CLEAR", None, None))
 
     # -- segments, checkpoints, recovery
 
+    def _mark(self, op: str, number: int) -> int:
+        """Logs a checkpoint's record in a transaction of its own; returns its LSN."""
+        own, self._next_txn = self._next_txn, self._next_txn + 1
+        return self.log.append([("BEGIN", None, None, None, own), (op, None, None, number, own), ("COMMIT", None, None, None, own)])[0] + 1
+
     def begin_checkpoint(self) -> tuple[int, int]:
         """(id, LSN of its start)."""
         number = self.manifest.next_seq()
-        lsn, _ = self.log.append([("CHECKPOINT_START", None, None, number, 0)])
+        lsn = self._mark("CHECKPOINT_START", number)
         self.manifest.add("CREATED", checkpoint_id=number, lsn=lsn)
         return number, lsn
 
     def end_checkpoint(self, number: int) -> None:
-        self.log.append([("CHECKPOINT_END", None, None, number, 0)])
+        self._mark("CHECKPOINT_END", number)
 
     def flush(self) -> str:
         """Log up to now to a verified segment; then the log keeps its tail. An empty flush is an empty segment.
 
-        A CLEAR in the log makes the segment replace all older ones, and an
-        unfinished transaction keeps its records in the log.
+        A CLEAR in the log makes the segment replace all older ones. An open
+        transaction of this object is an error; one of another process keeps its
+        records in the log.
         """
         if open_ := [t for t, s in self._transactions.items() if s in (txn.STARTED, txn.PREPARED)]:
             raise errors.InvalidOperation(f"transactions {open_} are not finished")
+        return self._flush()
+
+    def _flush(self) -> str:
         number, lsn = self.begin_checkpoint()
         tail = fold.committed(fold.upto(self.log.read(), lsn))
         cleared = not tail.filter("op = 'CLEAR'").isEmpty()
@@ -184,6 +219,8 @@ class KeyedTable:
     def _register(self, path: str, number: int, lsn: int, replaces: list[str]) -> None:
         about = segment.stats(segment.read(self.spark, path)).first()
         segment.verify(self.spark, path, about["entry_count"])
+        if self.use_bloom:
+            segment.write_bloom(self.spark, path, BloomParams.partitioned(about["entry_count"], self.rate, self.bloom_partitions))
         self.manifest.add("SEGMENT", checkpoint_id=number, segment_path=path, replaces=replaces, size_bytes=about["size_bytes"], entry_count=about["entry_count"], has_bloom_filter=self.use_bloom, lsn=lsn)
         self.manifest.add("DURABLE", checkpoint_id=number, segment_path=path, lsn=lsn)
 
@@ -206,12 +243,22 @@ class KeyedTable:
             return r["segment_path"]
         return None
 
-    def recover(self) -> KeyedTable:
-        """A table as a new process finds it: live segments that verify, then the log's committed tail."""
+    def recover(self, checkpoint: bool = True) -> KeyedTable:
+        """A table as a new process finds it: live segments that verify, then the log's committed tail, whose records must be sound.
+
+        What the log holds then goes to a new checkpoint, and the log is cut;
+        transactions that are open there are known again and keep their records.
+        """
         for r in self.manifest.segments():
             segment.verify(self.spark, r["segment_path"], r["entry_count"])
-        fresh = KeyedTable(self.spark, self.base_path, self.capacity, self.compaction_ratio, self.use_bloom, self.rate)
-        fresh._next_txn = (self.log.read().agg(F.max("txn_id")).first()[0] or 0) + 1
+        fresh = KeyedTable(self.spark, self.base_path, self.capacity, self.compaction_ratio, self.use_bloom, self.rate, self.bloom_partitions)
+        fresh.log.verify()
+        log = fresh.log.read()
+        fresh._next_txn = (log.agg(F.max("txn_id")).first()[0] or 0) + 1
+        open_ = fold.transaction_status(log).filter(F.col("status").isin(txn.STARTED, txn.PREPARED))
+        fresh._transactions = {r["txn_id"]: r["status"] for r in open_.collect()}
+        if checkpoint and not fold.committed(log).filter(F.col("op").isin("PUT", "DEL", "CLEAR")).isEmpty():
+            fresh._flush()
         return fresh
 
     def compaction_groups(self, min_group: int = 2) -> list[list[str]]:
@@ -228,18 +275,15 @@ class KeyedTable:
         chosen = [r for r in live if paths is None or r["segment_path"] in set(paths)]
         if not chosen or (paths is not None and len(chosen) != len(set(paths))):
             raise errors.InvalidOperation("no such segments")
-        number, lsn = self.begin_checkpoint()
+        number, _ = self.begin_checkpoint()
         whole = [r["segment_path"] for r in live[: len(chosen)]] == [r["segment_path"] for r in chosen]
         # LSNs order the writes of a key, so segments in between may stay where they are
-        rows = [segment.read(self.spark, r["segment_path"]) for r in chosen]
-        merged = rows[0]
-        for x in rows[1:]:
-            merged = merged.unionByName(x)
-        merged = merged.groupBy("key").agg(F.max_by(F.struct("value", "tombstone"), "lsn").alias("x"), F.max("lsn").alias("lsn")).select("key", "x.value", "x.tombstone", "lsn")
+        merged = compaction.merge([segment.checked(segment.read(self.spark, r["segment_path"])).drop("crc") for r in chosen], whole, by="lsn")
         path = self._segment_path(number)
-        segment.write(merged.filter(~F.col("tombstone")) if whole else merged, path, self.use_bloom)
+        segment.write(merged, path, self.use_bloom)
         self.end_checkpoint(number)
-        self._register(path, number, lsn, [r["segment_path"] for r in chosen])
+        # of the log nothing is gone: history reaches back as far as before
+        self._register(path, number, max(r["lsn"] for r in chosen), [r["segment_path"] for r in chosen])
         return path
 
     def bloom_filter(self) -> tuple[DataFrame, BloomParams]:

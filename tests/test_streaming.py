@@ -41,3 +41,15 @@ def test_a_batch_counts_once(spark, tmp_path):
     table.log.append([("PUT", "z", b"0", None, 0)])
     assert ingest.append_batch(table, rows, 0) and not ingest.append_batch(table, rows, 0)
     assert table.len() == 2
+
+
+def test_a_batch_counts_once_after_a_flush(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t")
+    old = spark.createDataFrame([(1, "PUT", "a", b"old")], SCHEMA)
+    assert ingest.append_batch(table, old, 0)
+    table.flush()
+    table.insert("a", b"new")
+    table.flush()
+    assert not ingest.append_batch(table, old, 0) and table.get("a") == b"new"
+    assert ingest.append_batch(table, spark.createDataFrame([(1, "PUT", "b", b"2")], SCHEMA), 1) and table.len() == 2
+    assert ingest.append_batch(table, old, 0, stream_id=2)
