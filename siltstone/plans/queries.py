@@ -15,8 +15,9 @@ from siltstone.plans.frames import LOG_SQL, SEGMENTS_SQL, customers, event_log,
 from siltstone.schema import RECORD_TYPES, KeyRange
 from siltstone.sources import log as log_source
 from siltstone.sources import segment
-from siltstone.sources.scratch import stored
+from siltstone.sources.scratch import scratch_root, stored
 from siltstone.streaming import ingest
+from siltstone.table import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,17 +147,19 @@ def clear_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {LOG_SQL} {_last('com')}")
 def txn_committed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text(fold.replay(event_log(spark, sf_dir)))
+    return text(fold.replay(stored(event_log(spark, sf_dir), "log")))
 
 
-_AS_OF = 4 * 600 + 4
+#: Three quarters of the log, past both of its CLEARs on larger tables.
+_AS_OF = "(SELECT 3 * max(lsn) // 4 FROM log)"
 
 
 @register(f"""WITH {LOG_SQL}, upto AS (SELECT * FROM log WHERE lsn <= {_AS_OF}),
 dn AS (SELECT txn_id FROM upto WHERE txn_id <> 0 AND op IN ('COMMIT', 'ABORT') GROUP BY txn_id HAVING arg_max(op, lsn) = 'COMMIT'),
 cm AS (SELECT * FROM upto WHERE txn_id = 0 OR txn_id IN (SELECT txn_id FROM dn)) {_last('cm')}""")
 def as_of_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text(fold.replay(event_log(spark, sf_dir), upto_lsn=_AS_OF))
+    log = stored(event_log(spark, sf_dir), "log")
+    return text(fold.replay(log, upto_lsn=3 * (log.agg(F.max("lsn")).first()[0] or 0) // 4))
 
 
 _OLD = f"""WITH {LOG_SQL}, c AS (SELECT *, (SELECT count(*) FROM log x WHERE x.op = 'CLEAR' AND x.lsn < log.lsn) AS epoch FROM log WHERE op IN ('PUT', 'DEL')),
@@ -442,13 +445,135 @@ def page_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_brand", F.size("entries").cast("long").alias("entries"), F.array_position(keys, 100).cast("long").alias("position"))
 
 
+# -- the store itself: tables that are written, flushed, compacted and recovered
+
+
+def _store(spark: SparkSession, **options: object) -> KeyedTable:
+    return KeyedTable(spark, f"{scratch_root(spark)}/store-{uuid.uuid4().hex}", **options)
+
+
+def _pairs(spark: SparkSession, sf_dir: str, where: str, value: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").filter(where).select(F.col("c_name").alias("key"), F.expr(value).cast("binary").alias("value"))
+
+
+def _written(spark: SparkSession, sf_dir: str, flushes: int) -> KeyedTable:
+    """All customers, then every third rewritten, then every tenth deleted, with a flush after each of the first steps."""
+    t = _store(spark)
+    steps = [
+        lambda: t.put(_pairs(spark, sf_dir, "true", "c_mktsegment")),
+        lambda: t.put(_pairs(spark, sf_dir, "c_custkey % 3 = 0", "concat('again ', c_custkey)")),
+        lambda: t.delete(_pairs(spark, sf_dir, "c_custkey % 10 = 0", "''").select("key")),
+    ]
+    for i, step in enumerate(steps):
+        step()
+        if i < flushes:
+            t.flush()
+    return t
+
+
+_WRITTEN = "SELECT c_name AS key, CASE WHEN c_custkey % 3 = 0 THEN 'again ' || c_custkey ELSE c_mktsegment END AS value{0} FROM customer WHERE c_custkey % 10 <> 0"
+
+
+@register(_WRITTEN.format(""))
+def store_put_flush_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segments and an unflushed tail, read as one state."""
+    return text(_written(spark, sf_dir, 2).range())
+
+
+@register(_WRITTEN.format(", 2::BIGINT AS segments, 0::BIGINT AS unflushed"))
+def store_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new process replays the log's tail into a checkpoint of its own; an open transaction stays unseen."""
+    t = _written(spark, sf_dir, 1)
+    number = t.begin_transaction()
+    t.add_to_transaction(number, [("PUT", "open", b"unseen")])
+    t = t.recover()
+    return text(t.range()).withColumns({"segments": F.lit(len(t.manifest.segments())).cast("long"), "unflushed": F.lit(t.unflushed_bytes()).cast("long")})
+
+
+@register(_WRITTEN.format(", 1::BIGINT AS segments, (SELECT count(*) FROM customer WHERE c_custkey % 10 <> 0) AS entries"))
+def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segments become one, without the deleted keys."""
+    t = _written(spark, sf_dir, 3)
+    t.compact()
+    live = t.manifest.segments()
+    return text(t.range()).withColumns({"segments": F.lit(len(live)).cast("long"), "entries": F.lit(live[0]["entry_count"]).cast("long")})
+
+
+@register(_WRITTEN.format(""))
+def store_read_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered index over segments and tail; flushed values are read where the references point."""
+    t = _written(spark, sf_dir, 2)
+    return text(t.load(t.index()))
+
+
+@register("SELECT c_name AS key, 'new' AS value FROM customer WHERE c_custkey <= 20")
+def store_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CLEAR after a flush, then a flush that replaces the older segment."""
+    t = _store(spark)
+    t.put(_pairs(spark, sf_dir, "true", "c_mktsegment"))
+    t.flush()
+    t.clear()
+    t.put(_pairs(spark, sf_dir, "c_custkey <= 20", "'new'"))
+    t.flush()
+    return text(t.range())
+
+
+@register("SELECT c_name AS key, c_mktsegment AS value FROM customer")
+def store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state at an LSN of the unflushed log, after which all keys were rewritten and some deleted."""
+    t = _store(spark)
+    at = t.put(_pairs(spark, sf_dir, "true", "c_mktsegment"))
+    t.put(_pairs(spark, sf_dir, "true", "'later'"))
+    t.delete(_pairs(spark, sf_dir, "c_custkey % 2 = 0", "''").select("key"))
+    return text(t.as_of(at).select("key", "value"))
+
+
+@register("SELECT * FROM (VALUES ('a', '1'), ('c', '3'), ('p', 'q')) v(key, value)")
+def store_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One committed transaction, one prepared and committed after a restart, one aborted, one open, and a batch."""
+    t = _store(spark)
+    one, two, three, four = (t.begin_transaction() for _ in range(4))
+    for n, key in ((one, "a"), (two, "p"), (three, "x"), (four, "y")):
+        t.add_to_transaction(n, [("PUT", key, b"q" if key == "p" else b"1")])
+    t.prepare_transaction(two)
+    t.commit_transaction(one)
+    t.abort_transaction(three)
+    t.execute_batch([("PUT", "b", b"2"), ("PUT", "c", b"3"), ("DEL", "b", None)])
+    t = t.recover()
+    t.commit_transaction(two)
+    return text(t.range())
+
+
+@register("SELECT * FROM (VALUES (1, 'BEGIN', NULL, 1), (2, 'PUT', 'a', 1), (3, 'COMMIT', NULL, 1), (4, 'BEGIN', NULL, 2), (5, 'CHECKPOINT_START', NULL, 2), (6, 'COMMIT', NULL, 2), (7, 'BEGIN', NULL, 3), (8, 'DEL', 'a', 3), (9, 'COMMIT', NULL, 3), (10, 'BEGIN', NULL, 4), (11, 'PUT', 'b', 4), (12, 'COMMIT', NULL, 4)) v(lsn, op, key, txn_id) WHERE lsn > 5 OR txn_id = 2")
+def store_log_after_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's records after it was cut at a checkpoint's start; single writes and marks are transactions."""
+    t = _store(spark)
+    t.insert("a", b"1")
+    _, lsn = t.begin_checkpoint()
+    t.remove("a")
+    t.insert("b", b"2")
+    t.log.truncate(lsn)
+    return t.log.ordered().select("lsn", "op", "key", "txn_id")
+
+
+_SIZED = "n AS (SELECT greatest(count(*), 1)::DOUBLE AS n FROM customer WHERE c_custkey % 2 = 0), m AS (SELECT n, ceil(-n * ln(0.01) / pow(ln(2), 2))::BIGINT AS m FROM n), z AS (SELECT m, least(greatest(ceil(m / n * ln(2)), 1), 20)::BIGINT AS k FROM m)"
+_PLACED = f"SELECT c_custkey, c_name AS key, ({_H.format('a', 'c_name')} + i * ({_H.format('b', 'c_name')} | 1)) % m AS pos, k FROM customer, z, range(20) r(i) WHERE i < k"
+
+
+@register(f"WITH {_SIZED}, placed AS ({_PLACED}), b AS (SELECT DISTINCT pos FROM placed WHERE c_custkey % 2 = 0) SELECT key, count(b.pos) = any_value(k) AS may_contain FROM placed LEFT JOIN b USING (pos) GROUP BY key")
+def store_bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter stored with a segment of every second customer, sized by its entries, asked for all of them."""
+    t = _store(spark)
+    t.put(_pairs(spark, sf_dir, "c_custkey % 2 = 0", "c_mktsegment"))
+    return segment.SegmentReader(spark, t.flush()).may_contain_batch(_everyone(spark, sf_dir))
+
+
 # -- streams
 
 
-@register("SELECT user_id::VARCHAR AS key, arg_max(event_type || ':' || event_id, event_id) AS value, max(event_id) AS lsn FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+@register("SELECT user_id::VARCHAR AS key, arg_max(event_type || ':' || event_id, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The incremental fold of the event stream, read once with what there is."""
-    name = f"latest_{uuid.uuid4().hex}"
+    """The event stream, written to a table in micro-batches until there is no more."""
     schema = table(spark, sf_dir, "events").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     # a file source reads a folder: that of the table, or the one where its only file lies
@@ -456,8 +581,9 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         source = spark.readStream.schema(schema).parquet(path.toString())
     else:
         source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    value = F.concat_ws(":", "event_type", F.col("event_id").cast("string"))
+    value = F.concat_ws(":", "event_type", F.col("event_id").cast("string")).cast("binary")
     op = F.when(F.col("event_type") == "error", "DEL").otherwise("PUT")
-    folded = ingest.latest(source.select(F.col("event_id").alias("lsn"), F.col("user_id").cast("string").alias("key"), op.alias("op"), value.alias("value")))
-    folded.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).filter("op = 'PUT'").select("key", "value", "lsn")
+    t = _store(spark)
+    rows = source.select(F.col("event_id").alias("order"), op.alias("op"), F.col("user_id").cast("string").alias("key"), value.alias("value"))
+    ingest.ingest(rows, t, f"{t.base_path}/progress").awaitTermination()
+    return text(t.state().select("key", "value"))
