@@ -52,8 +52,8 @@ CLASSES = 48
 SWEEPS = 12
 #: Weight of the class model against the unigram, and of the class unigram in a transition.
 MIX, PRIOR = 0.8, 5.0
-BLOCK_WORDS = 400_000
-BLOCK_TOKENS = 6_000_000
+BLOCK_WORDS = 300_000
+BLOCK_TOKENS = 4_000_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -89,7 +89,7 @@ def frequent_words(docs: DataFrame, rare: int = RARE) -> list[bytes]:
                 continue
             count.update(words)
             total += len(words)
-            if total >= BLOCK_TOKENS or len(count) >= 2 * BLOCK_WORDS:
+            if total >= BLOCK_TOKENS or len(count) >= BLOCK_WORDS:
                 yield told(count, total)
                 count, total = Counter(), 0
         yield told(count, total)
@@ -131,6 +131,8 @@ DOC, WORD, PAIR = 0, 1, 2
 NEAR_BITS = 18
 #: The same for neighbours told as classes.
 TOLD_BITS = 24
+PART_WORDS = 40_000
+_CLOSED = np.array([-1], np.int32)
 
 
 def _batch(**columns: pa.Array) -> pa.RecordBatch:
@@ -138,19 +140,19 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in _FIELDS], schema=_FIELDS)
 
 
-def neighbours(joined: np.ndarray, of: np.ndarray, rare: np.ndarray, end: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, entries): entries[edges[i] : edges[i + 1]] are the units before and after local word i, with counts.
+def neighbours(joined: np.ndarray, of: np.ndarray, at: np.ndarray, end: int, first: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, entries): entries[edges[i] : edges[i + 1]] are the units before and after local word first + i, with counts.
 
-    ``joined`` has the local words of documents, each closed by -1, ``of`` their units, ``rare`` where to look.
+    ``joined`` has the local words of documents, each closed by -1, ``of`` their units, ``at`` the places of the words asked for.
     """
-    at = np.flatnonzero(rare)
     wide = 2 * (end + 1)
-    before, after = np.append(of, end)[at - 1], of[at + 1]
-    key = np.concatenate((joined[at] * wide + 2 * before, joined[at] * wide + 2 * after + 1))
+    word = (joined[at].astype(np.int64) - first) * wide
+    before, after = np.where(at > 0, of[at - 1], end), of[at + 1]
+    key = np.concatenate((word + 2 * before, word + 2 * after + 1))
     key.sort()
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    n = np.diff(first, append=len(key))
-    word, code = np.divmod(key[first], wide)
+    first_of = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(first_of, append=len(key))
+    word, code = np.divmod(key[first_of], wide)
     return entries_with_counts(word, code, n, NEAR_BITS, words)
 
 
@@ -188,18 +190,19 @@ def blocks(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
         def vocabulary() -> Iterator[pa.RecordBatch]:
             words = list(number)
             unit = np.fromiter((known[w] if w in known else len(known) + shape(w) for w in words), np.int32, len(words))
-            joined = np.concatenate([np.zeros(0, np.int32), *(x for t in training for x in (t, [-1]))]).astype(np.int64)
+            joined = np.concatenate([np.zeros(0, np.int32), *(x for t in training for x in (t, _CLOSED))])
+            training.clear()
             count = np.bincount(joined[joined >= 0], minlength=len(words))
-            of = np.append(unit, end)[joined].astype(np.int64)
-            edges, entries = neighbours(joined, of, (joined >= 0) & (of >= len(known)), end, len(words))
-            for at in range(0, len(words), 50_000):
-                part = slice(at, at + 50_000)
+            of = np.append(unit, np.int32(end))[joined]
+            # a part of the words at a time, so that the keys of their neighbours stay few
+            for at in range(0, len(words), PART_WORDS):
+                part = slice(at, at + PART_WORDS)
                 n = len(words[part])
-                edge = edges[at : at + n + 1]
-                near = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((edge - edge[0]) * 4).astype(np.int32)), pa.py_buffer(entries[edge[0] : edge[-1]])])
+                edge, entries = neighbours(joined, of, np.flatnonzero((joined >= at) & (joined < at + n) & (of >= len(known))), end, at, n)
+                near = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * edge).astype(np.int32)), pa.py_buffer(entries)])
                 yield _batch(kind=pa.array(np.full(n, WORD, np.int32)), blk=pa.array(np.full(n, block)), lid=pa.array(np.arange(at, at + n, dtype=np.int32)), word=pa.array(words[part], pa.binary()), n=pa.array(count[part]), unit=pa.array(unit[part]), near=near)
             if len(joined):
-                code, n = np.unique(np.concatenate(([end], of[:-1])) * units + of, return_counts=True)
+                code, n = np.unique(np.concatenate((np.array([end], np.int32), of[:-1])) * np.int32(units) + of, return_counts=True)
                 yield _batch(kind=pa.array(np.full(len(code), PAIR, np.int32)), blk=pa.array(code), n=pa.array(n))
 
         for doc_id, held, words in _texts(batches):
