@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, h long, size long, key string, measures string, rid int, blk int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, h long, size long, key string, measures string, rid int, blk int, _q_row long, __plan string, __near_id long, `a.b` string"
 
 
 def sentence(rng, n):
@@ -25,7 +25,7 @@ def rows():
 
 
 def frame(spark, rows, partitions=3):
-    data = [(i, t, None, s, None if t is None else len(t), "n", 1, 2, "k", "m", 3, 4) for i, t, s in rows]
+    data = [(i, t, None, s, None if t is None else len(t), "n", 1, 2, "k", f"m{k}", 3, 4, k, f"p{k}", -k, f"d{k}") for k, (i, t, s) in enumerate(rows)]
     return spark.createDataFrame(data, SCHEMA).repartition(partitions)
 
 
