@@ -1,14 +1,20 @@
 """Capacity of bounded tables.
 
 ``trace`` is the running size of a log; ``admit`` decides insert by insert, as
-a refused insert leaves the size as it was. That is sequential within a table,
-so it is one fold per table (``by``) over its own log, and parallel over tables.
+a refused insert leaves the size as it was. That is sequential within a table
+(``by``), and parallel over tables: a table's inserts come sorted, as a stream of
+record batches, and what is kept of them is the size of each live key. As every
+entry is charged some bytes, that is bounded by the capacity, not by the log.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from siltstone.functions.codec import entry_size
 
@@ -25,21 +31,29 @@ def trace(log: DataFrame, *by: str) -> DataFrame:
 def admit(puts: DataFrame, capacity: int, *by: str) -> DataFrame:
     """Each insert with ``accepted`` and the size after it: by..., lsn, accepted, size_bytes.
 
-    Accepted if the size, less that of the value it replaces, is at most ``capacity``.
+    Accepted if the size, less that of the value it replaces, is at most
+    ``capacity``; an insert without key or value is refused.
     """
-    item = F.struct("lsn", "key", entry_size(F.col("key"), F.col("value")).alias("size"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("total"),
-        F.create_map().cast("map<string, bigint>").alias("sizes"),
-        F.array().cast("array<struct<lsn: bigint, accepted: boolean, size_bytes: bigint>>").alias("out"),
-    )
-
-    def more(acc: Column, x: Column) -> Column:
-        after = acc["total"] - F.coalesce(F.try_element_at(acc["sizes"], x["key"]), F.lit(0).cast("long")) + x["size"]
-        fits = after <= capacity
-        total = F.when(fits, after).otherwise(acc["total"])
-        sizes = F.when(fits, F.map_concat(F.map_filter(acc["sizes"], lambda k, _: k != x["key"]), F.create_map(x["key"], x["size"]))).otherwise(acc["sizes"])
-        return F.struct(total.alias("total"), sizes.alias("sizes"), F.concat(acc["out"], F.array(F.struct(x["lsn"].alias("lsn"), fits.alias("accepted"), total.alias("size_bytes")))).alias("out"))
-
-    folded = puts.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("log"))
-    return folded.select(*by, F.explode(F.aggregate("log", start, more, lambda acc: acc["out"])).alias("x")).select(*by, "x.*")
+    rows = puts.select(*by, F.col("lsn").cast("long").alias("lsn"), "key", entry_size(F.col("key"), F.col("value")).alias("size"))
+    dealt = rows.repartition(*by) if by else rows.repartition(1)
+    width = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total, sizes = None, 0, {}
+        for batch in batches:
+            of = list(zip(*(batch.column(i).to_pylist() for i in range(width)))) if width else [()] * batch.num_rows
+            accepted, after = [], []
+            for now, key, size in zip(of, batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()):
+                if now != table:
+                    table, total, sizes = now, 0, {}
+                would = None if size is None else total - sizes.get(key, 0) + size
+                fits = would is not None and would <= capacity
+                if fits:
+                    total, sizes[key] = would, size
+                accepted.append(fits)
+                after.append(total)
+            columns = [batch.column(i) for i in range(width + 1)] + [pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: width + 1], "accepted", "size_bytes"])
+
+    schema = StructType([*rows.schema.fields[: width + 1], StructField("accepted", BooleanType()), StructField("size_bytes", LongType())])
+    return dealt.sortWithinPartitions(*by, "lsn", "key", "size").mapInArrow(run, schema)

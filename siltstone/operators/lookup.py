@@ -30,19 +30,24 @@ def scan(state: DataFrame, keys: KeyRange, column: str = "key") -> DataFrame:
     return state.filter(keys.predicate(F.col(column))).orderBy(column)
 
 
-def ranked(state: DataFrame, keys: KeyRange, column: str = "key") -> DataFrame:
-    """A range with each row's position in key order, counted from 1.
+def ranked(state: DataFrame, keys: KeyRange, column: str = "key", *by: str) -> DataFrame:
+    """A range with each row's position in key order, counted from 1; with ``by``, in each group.
 
     A range-partitioned sort numbers rows within partitions and adds the counts
-    of those before; no single task sees all rows. The numbered rows are stored,
-    as a second sort need not cut the partitions at the same keys.
+    of those before; no single task sees all rows, nor all of a group. The
+    numbered rows are stored, as a second sort need not cut the partitions at the
+    same keys.
     """
-    part = state.filter(keys.predicate(F.col(column))).orderBy(column).withColumn("_id", F.monotonically_increasing_id())
-    local = part.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft(F.col("_part"), 33) + 1)
+    part = state.filter(keys.predicate(F.col(column))).orderBy(*by, column).withColumn("_id", F.monotonically_increasing_id())
+    local = part.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft(F.col("_part"), 33))
     local = stored(local.drop("_id"), "ranked")
-    counts = local.groupBy("_part").agg(F.max("_at").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    return local.join(before, "_part").withColumn("position", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    counts = local.groupBy("_part", *by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
+    a, b = local.alias("a"), counts.withColumn("_before", earlier - F.col("_first")).alias("b")
+    on = F.col("a._part") == F.col("b._part")
+    for c in by:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, on).select("a.*", (F.col("_before") + F.col("_at") + 1).alias("position")).drop("_part", "_at")
 
 
 def length(state: DataFrame) -> DataFrame:

@@ -411,24 +411,27 @@ def page_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.assign(table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("key")), 16, "key", "p_brand")
 
 
-_BRANDS = "k AS (SELECT p_brand, list_sort(list(p_partkey)) AS keys FROM part GROUP BY p_brand)"
+_PAGE = 16
+_PAGES = f"""r AS (SELECT p_brand, p_partkey AS key, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // {_PAGE} AS page FROM part),
+k AS (SELECT p_brand, page, list_sort(list(key)) AS keys FROM r GROUP BY p_brand, page)"""
 
 
 def _brand_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    """The pages of every brand's index of its parts: p_brand, page, entries."""
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
+    return pages.collected(pages.assign(rows, _PAGE, "key", "p_brand"), F.struct("key", "value"), "p_brand")
 
 
-@register(f"WITH {_BRANDS} SELECT p_brand, len(keys) // 2 AS left_size, keys[len(keys) // 2 + 1] AS median, len(keys) - len(keys) // 2 AS right_size, list_aggregate(keys[:len(keys) // 2], 'max') AS left_last FROM k")
+@register(f"WITH {_PAGES} SELECT p_brand, page, len(keys) // 2 AS left_size, keys[len(keys) // 2 + 1] AS median, len(keys) - len(keys) // 2 AS right_size, list_aggregate(keys[:len(keys) // 2], 'max') AS left_last FROM k")
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _brand_pages(spark, sf_dir).select("p_brand", pages.split(F.col("entries")).alias("s"))
-    return s.select("p_brand", F.size("s.left").cast("long").alias("left_size"), F.col("s.median").alias("median"), F.size("s.right").cast("long").alias("right_size"), F.get(F.col("s.left"), F.size("s.left") - 1)["key"].alias("left_last"))
+    s = _brand_pages(spark, sf_dir).select("p_brand", "page", pages.split(F.col("entries")).alias("s"))
+    return s.select("p_brand", "page", F.size("s.left").cast("long").alias("left_size"), F.col("s.median").alias("median"), F.size("s.right").cast("long").alias("right_size"), F.get(F.col("s.left"), F.size("s.left") - 1)["key"].alias("left_last"))
 
 
-@register(f"WITH {_BRANDS} SELECT p_brand, len(list_filter(keys, lambda x: x < 100))::BIGINT AS position FROM k")
+@register(f"WITH {_PAGES} SELECT p_brand, page, len(list_filter(keys, lambda x: x < 100))::BIGINT AS position FROM k")
 def lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.transform(F.col("entries"), lambda x: x["key"])
-    return _brand_pages(spark, sf_dir).select("p_brand", pages.lower_bound(keys, 100).cast("long").alias("position"))
+    return _brand_pages(spark, sf_dir).select("p_brand", "page", pages.lower_bound(keys, 100).cast("long").alias("position"))
 
 
 @register("SELECT p_brand, p_partkey AS key, p_name AS value FROM part WHERE p_partkey BETWEEN 50 AND 150")
@@ -437,12 +440,17 @@ def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_brand", "x.key", "x.value")
 
 
-@register(f"WITH {_BRANDS} SELECT p_brand, len(keys) + CASE WHEN list_contains(keys, 100) THEN 0 ELSE 1 END AS entries, list_position(list_sort(list_distinct(list_append(keys, 100))), 100)::BIGINT AS position FROM k")
+@register(f"""WITH {_PAGES}, n AS (SELECT p_brand, page, list_sort(list_distinct(list_append(keys, 100))) AS keys FROM k)
+SELECT p_brand, page, list_position(keys, 100)::BIGINT AS position, len(keys) > {_PAGE} AS is_split,
+       CASE WHEN len(keys) > {_PAGE} THEN len(keys) // 2 ELSE len(keys) END::BIGINT AS left_size,
+       CASE WHEN len(keys) > {_PAGE} THEN keys[len(keys) // 2 + 1] END AS median,
+       CASE WHEN len(keys) > {_PAGE} THEN len(keys) - len(keys) // 2 END::BIGINT AS right_size FROM n""")
 def page_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key 100 put into every page, those that it overfills being split."""
     entry = F.struct(F.lit(100).cast("long").alias("key"), F.lit("new").alias("value"))
-    rows = _brand_pages(spark, sf_dir).select("p_brand", pages.insert(F.col("entries"), entry).alias("entries"))
-    keys = F.transform(F.col("entries"), lambda x: x["key"])
-    return rows.select("p_brand", F.size("entries").cast("long").alias("entries"), F.array_position(keys, 100).cast("long").alias("position"))
+    rows = _brand_pages(spark, sf_dir).select("p_brand", "page", pages.insert(F.col("entries"), entry).alias("whole"), pages.put(F.col("entries"), entry, _PAGE).alias("s"))
+    position = F.array_position(F.transform("whole", lambda x: x["key"]), 100).cast("long")
+    return rows.select("p_brand", "page", position.alias("position"), F.col("s.median").isNotNull().alias("is_split"), F.size("s.left").cast("long").alias("left_size"), F.col("s.median").alias("median"), F.when(F.col("s.right").isNotNull(), F.size("s.right").cast("long")).alias("right_size"))
 
 
 # -- the store itself: tables that are written, flushed, compacted and recovered

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions.bloom_math import BloomParams
-from siltstone.operators import bloom, compaction, pages, txn
+from siltstone.operators import bloom, capacity, compaction, pages, txn
 from siltstone.schema import KeyRange
 
 
@@ -122,6 +122,59 @@ def test_pages(spark):
     assert [x["key"] for x in p.select(pages.in_range(F.col("entries"), KeyRange.closed(30, 60)).alias("e")).first()["e"]] == [30, 50]
 
 
+def test_an_inner_page_hands_the_promoted_child_on(spark):
+    rows = spark.createDataFrame([([(10, "a", 1), (20, "b", 2), (30, "c", 3), (40, "d", None)],), ([(10, "a", None), (20, "b", None)],)], "entries array<struct<key: int, value: string, child: int>>")
+    got = [r["s"] for r in rows.select(pages.split(F.col("entries"), leaf=False, child="child").alias("s")).collect()]
+    assert [tuple(x) for x in got[0]["left"]] == [(10, "a", 1)] and got[0]["median"] == 20
+    assert [tuple(x) for x in got[0]["right"]] == [(20, None, 2), (30, "c", 3), (40, "d", None)]
+    assert got[1]["left"] == [] and got[1]["median"] == 10 and [x["key"] for x in got[1]["right"]] == [20]
+
+
+def test_a_put_splits_a_page_that_it_overfills(spark):
+    def put(numbers, key, most):
+        new = F.struct(F.lit(key).alias("key"), F.lit("new").alias("value"))
+        s = page(spark, numbers).select(pages.put(F.col("entries"), new, most).alias("s")).first()["s"]
+        return [x["key"] for x in s["left"]], s["median"], s["right"] and [x["key"] for x in s["right"]]
+
+    assert put([10, 20], 30, 2) == ([10], 20, [20, 30])
+    assert put([10, 20], 20, 2) == ([10, 20], None, None)
+    assert put([], 5, 2) == ([5], None, None)
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_pages_of_any_split_follow_key_order(spark, by):
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else "cold", (i * 37) % 101) for i in range(100)] + [("hot", None)]
+    df = spark.createDataFrame(rows, "g string, key int").repartition(9)
+    got = sorted(((r["g"] if by else 0) or "", r["key"], r["page"], r["slot"]) for r in pages.assign(df, 8, "key", *by).collect()) if by else sorted((r["key"], r["page"], r["slot"]) for r in pages.assign(df, 8).collect())
+    want = []
+    for g in sorted({x[0] or "" for x in rows}) if by else [None]:
+        keys = sorted(k for h, k in rows if k is not None and (g is None or (h or "") == g))
+        want += [((g,) if by else ()) + (k, i // 8, i % 8) for i, k in enumerate(keys)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("by", [(), ("t",)])
+def test_admission_by_brute_force(spark, by):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice(["a", "a", "a", "b", None]) if by else "a", lsn, r.choice("xyz") + str(r.randrange(4)), b"v" * r.randrange(200)) for lsn in range(400)]
+    want = []
+    for t in {x[0] for x in rows}:
+        live = {}
+        for _, lsn, key, value in sorted(x for x in rows if x[0] == t) if t is not None else [x for x in rows if x[0] is None]:
+            after = live | {key: len(key) + len(value) + 32}
+            fits = sum(after.values()) <= 600
+            live = after if fits else live
+            want.append((t or "", lsn, fits, sum(live.values())))
+    df = spark.createDataFrame(rows, "t string, lsn bigint, key string, value binary").repartition(7)
+    got = [((x["t"] if by else "a") or "", x["lsn"], x["accepted"], x["size_bytes"]) for x in capacity.admit(df, 600, *by).collect()]
+    assert sorted(got) == sorted(want)
+    assert not all(x[2] for x in got) and any(x[2] for x in got)
+    assert capacity.admit(df.limit(0), 600, *by).collect() == []
+    assert [x["accepted"] for x in capacity.admit(spark.createDataFrame([("a", 1, "k", None)], df.schema), 600, *by).collect()] == [False]
+
+
 def test_steps():
     assert txn.step(1, txn.STARTED, "COMMIT") == txn.COMMITTED
     assert txn.step(1, txn.PREPARED, "ABORT") == txn.ABORTED
