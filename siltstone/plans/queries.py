@@ -260,19 +260,29 @@ def bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n", F.round(bloom_math.rate_column(F.col("n"), F.lit(float(p.bits)), F.lit(p.hashes)), 9).alias("rate"))
 
 
-_P = BloomParams.of(2000, 0.01)
-_PP = BloomParams.partitioned(2000, 0.01, 4)
+def _params(spark: SparkSession, sf_dir: str, partitions: int = 1) -> BloomParams:
+    """Of a filter for all customers; their count is read from the files' footers."""
+    n = table(spark, sf_dir, "customer").count()
+    return BloomParams.partitioned(n, 0.01, partitions) if partitions > 1 else BloomParams.of(n, 0.01)
 
 
-def _positions(items: str, p: BloomParams, source: str) -> str:
-    part = f"({_H.format('p', items)} % {p.partitions})::INT" if p.partitions > 1 else "0"
-    return f"SELECT {items} AS key, {part} AS part, ({_H.format('a', items)} + i * ({_H.format('b', items)} | 1)) % {p.bits} AS pos FROM {source}, range({p.hashes}) r(i)"
+def _sized(partitions: int) -> str:
+    """The same in SQL: a row of bits and hashes."""
+    return f"""(SELECT bits, least(greatest(ceil(bits / n * ln(2)), 1), 20)::BIGINT AS hashes FROM (
+    SELECT n, ceil(-n * ln(0.01) / pow(ln(2), 2))::BIGINT AS bits FROM (SELECT greatest(ceil(count(*) / {partitions}.0), 1)::DOUBLE AS n FROM customer)))"""
 
 
-def _probe_sql(p: BloomParams, built: str, asked: str) -> str:
-    return f"""b AS (SELECT DISTINCT part, pos FROM ({built})), q AS ({asked}), probed AS (SELECT q.key, count(b.pos) = {p.hashes} AS may_contain FROM q LEFT JOIN b ON q.part = b.part AND q.pos = b.pos GROUP BY q.key)"""
+def _positions(items: str, partitions: int, source: str) -> str:
+    part = f"({_H.format('p', items)} % {partitions})::INT" if partitions > 1 else "0"
+    return f"SELECT {items} AS key, {part} AS part, ({_H.format('a', items)} + i * ({_H.format('b', items)} | 1)) % bits AS pos FROM {source}, {_sized(partitions)} z, range(20) r(i) WHERE i < hashes"
 
 
+def _probe_sql(partitions: int) -> str:
+    built, asked = _positions("c_name", partitions, _FIRST), _positions("c_name", partitions, "customer")
+    return f"""b AS (SELECT DISTINCT part, pos FROM ({built})), q AS ({asked}), probed AS (SELECT q.key, count(b.pos) = (SELECT hashes FROM {_sized(partitions)} z) AS may_contain FROM q LEFT JOIN b ON q.part = b.part AND q.pos = b.pos GROUP BY q.key)"""
+
+
+_PARTS = 4
 _FIRST = "(SELECT * FROM customer WHERE c_custkey % 2 = 0)"
 
 
@@ -284,30 +294,34 @@ def _everyone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"))
 
 
-@register(f"SELECT 0 AS part, count(DISTINCT pos) AS bits_set FROM ({_positions('c_name', _P, _FIRST)})")
+@register(f"SELECT 0 AS part, count(DISTINCT pos) AS bits_set FROM ({_positions('c_name', 1, _FIRST)})")
 def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.set_bits(bloom.build(_even(spark, sf_dir), _P))
+    return bloom.set_bits(bloom.build(_even(spark, sf_dir), _params(spark, sf_dir)))
 
 
-@register(f"WITH {_probe_sql(_P, _positions('c_name', _P, _FIRST), _positions('c_name', _P, 'customer'))} SELECT key, may_contain FROM probed")
+@register(f"WITH {_probe_sql(1)} SELECT key, may_contain FROM probed")
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.probe(_everyone(spark, sf_dir), bloom.build(_even(spark, sf_dir), _P), _P)
+    p = _params(spark, sf_dir)
+    return bloom.probe(_everyone(spark, sf_dir), bloom.build(_even(spark, sf_dir), p), p)
 
 
-@register(f"SELECT 0 AS part, count(DISTINCT pos) AS bits_set FROM ({_positions('c_name', _P, 'customer')})")
+@register(f"SELECT 0 AS part, count(DISTINCT pos) AS bits_set FROM ({_positions('c_name', 1, 'customer')})")
 def bloom_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.set_bits(bloom.merge(bloom.build(_even(spark, sf_dir), _P), _P, bloom.build(_even(spark, sf_dir, 1), _P), _P))
+    p = _params(spark, sf_dir)
+    return bloom.set_bits(bloom.merge(bloom.build(_even(spark, sf_dir), p), p, bloom.build(_even(spark, sf_dir, 1), p), p))
 
 
-@register(f"WITH {_probe_sql(_PP, _positions('c_name', _PP, _FIRST), _positions('c_name', _PP, 'customer'))} SELECT c_custkey AS place, key, may_contain FROM probed JOIN customer ON key = c_name")
+@register(f"WITH {_probe_sql(_PARTS)} SELECT c_custkey AS place, key, may_contain FROM probed JOIN customer ON key = c_name")
 def bloom_partitioned_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _params(spark, sf_dir, _PARTS)
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), F.col("c_name").alias("key"))
-    return bloom.probe_batch(asked, bloom.build(_even(spark, sf_dir), _PP), _PP).select("place", "key", "may_contain")
+    return bloom.probe_batch(asked, bloom.build(_even(spark, sf_dir), p), p).select("place", "key", "may_contain")
 
 
-@register(f"WITH {_probe_sql(_PP, _positions('c_name', _PP, _FIRST), _positions('c_name', _PP, 'customer'))} SELECT coalesce(bool_or(may_contain), false) AS any_hit, coalesce(bool_and(may_contain), true) AS all_hit FROM probed")
+@register(f"WITH {_probe_sql(_PARTS)} SELECT coalesce(bool_or(may_contain), false) AS any_hit, coalesce(bool_and(may_contain), true) AS all_hit FROM probed")
 def bloom_any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.any_all(bloom.probe(_everyone(spark, sf_dir), bloom.build(_even(spark, sf_dir), _PP), _PP))
+    p = _params(spark, sf_dir, _PARTS)
+    return bloom.any_all(bloom.probe(_everyone(spark, sf_dir), bloom.build(_even(spark, sf_dir), p), p))
 
 
 # -- segments and compaction
