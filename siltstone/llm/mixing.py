@@ -28,14 +28,18 @@ from siltstone.llm.common import Scratch, columns_of, free_names, text_of, words
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 BITS = 12
+LEVELS = 5
+HASH_BITS = BITS * LEVELS
 
 
 def row_hash() -> Column:
-    return F.xxhash64(F.col("doc_id"), text_of())
+    """60 bits of an MD5 of doc_id and text, which SQL can name too."""
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_of().cast("binary")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _prefix(level: int) -> Column:
-    return F.shiftright("h", max(0, 64 - BITS * level))
+    return F.shiftright("h", HASH_BITS - BITS * level)
 
 
 def weighted(by_source: DataFrame, weights: tuple[int, ...], s: Scratch) -> DataFrame:
@@ -86,8 +90,8 @@ def thresholds(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = s.save(targets.withColumn("copies", whole).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")))
     rows, found, open_ = sizes, [], plan.select("source", "rest")
-    for level in range(1, -(-64 // BITS) + 1):
-        shift = max(0, 64 - BITS * level)
+    for level in range(1, LEVELS + 1):
+        shift = HASH_BITS - BITS * level
         hist = rows.groupBy("source", _prefix(level).alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         a, b = hist.alias("a"), open_.alias("b")
@@ -134,3 +138,23 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
     # a row is repeated by an array of nothing that is as long as it is taken
     n = copies_of(h, size, f"{row}.").cast("int")
     return joined.select(*columns_of(docs), F.explode(F.array_repeat(F.lit(0), n)).alias(row)).drop(row)
+
+
+def sql(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> str:
+    """The mix in SQL, by sorting: sources in order of their cap for a unit of weight are drowned up to the first that isn't."""
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, {HASH_BITS // 4}))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, {most} * sum(size)::BIGINT AS cap FROM d GROUP BY source),
+w AS (SELECT *, {list(weights)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] AS weight FROM s),
+f AS (SELECT *, ((sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
+  / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT)::DOUBLE AS level, row_number() OVER o AS place FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+l AS (SELECT coalesce(arg_min(level, place), 0) AS level FROM f WHERE weight * level <= cap),
+t AS (SELECT source, source_size, least(l.level * weight, cap::DOUBLE) AS target FROM f, l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+b AS (SELECT source, h, sum(size)::BIGINT AS words FROM d GROUP BY source, h),
+c AS (SELECT b.source, h, words, p.target - p.copies * p.source_size AS rest, sum(words) OVER (PARTITION BY b.source ORDER BY h) AS upto FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source),
+e AS (SELECT source, min(h) AS boundary, 2 * (arg_min(rest - upto + words, h)) >= arg_min(words, h) AS included FROM c WHERE upto > rest GROUP BY source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (copies + (size > 0 AND coalesce(h < boundary OR included AND h = boundary, false))::BIGINT))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source"""

@@ -70,4 +70,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.sql(),
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_url_filter": url_filter.sql(),
+    "op5_source_mix": mixing.sql(),
+    "op8_substring_dedup": substring.SQL,
 }

@@ -316,3 +316,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"),
     )
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM d, unnest(range(1, len(w) - 33)) t(i)),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win SEMI JOIN again USING (k)),
+word AS (SELECT d.r, j, w[j] AS x FROM d, unnest(range(1, len(w) + 1)) t(j)),
+marked AS (SELECT word.r, j, x, coalesce(max(i) OVER (PARTITION BY word.r ORDER BY j), -34) > j - 35 AS gone FROM word LEFT JOIN hit ON word.r = hit.r AND j = i),
+kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY j) FILTER (NOT gone), '') AS t FROM marked GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
