@@ -48,6 +48,9 @@ RULES = (
     Rule("stop_words", "n_stop_words", "n_words", least=2),
     Rule("repeated_lines", "n_dup_lines", "n_lines", most=60),
 )
+#: A place of a text's windows fits this many bits, as a text has fewer than 2 ** 31 bytes.
+PLACE_BITS = 31
+MOST_PLACE = (1 << PLACE_BITS) - 1
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -59,16 +62,30 @@ def _count_chars(text: Column, chars: str) -> Column:
 def measure(df: DataFrame, text: str = "text", name: str = "measures") -> DataFrame:
     """Adds ``measures``, a struct with every count that the rules use.
 
-    Repeated words: the three-word windows are sorted together with their
-    places, equal neighbours give the places of windows found twice or more,
-    and the union of the covered places is counted from their sorted gaps.
+    Repeated words: the hashes of the three-word windows, each above the
+    window's place in one number, are sorted as plain numbers; windows that
+    share a hash with a neighbour are the only ones that can occur twice. These
+    are sorted by their words, equal neighbours give the places of windows found
+    twice or more, and the union of the covered places is counted from their
+    sorted gaps.
     """
     t = text_of(text)
-    w, grams, places, lines = free_names(df, "_q_w", "_q_grams", "_q_places", "_q_lines")
+    w, codes, grams, places, lines = free_names(df, "_q_w", "_q_codes", "_q_grams", "_q_places", "_q_lines")
     n = F.size(w)
     a = df.withColumn(w, words_of(t)).withColumn(lines, F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0))
-    zipped = F.arrays_zip(F.col(w).alias("a"), F.slice(w, F.lit(2), F.greatest(n, F.lit(1))).alias("b"), F.slice(w, F.lit(3), F.greatest(n, F.lit(1))).alias("c"))
-    a = a.withColumn(grams, F.when(n >= 3, F.sort_array(F.transform(F.slice(zipped, F.lit(1), n - 2), lambda x, i: F.struct(F.concat_ws(" ", x["a"], x["b"], x["c"]).alias("g"), i.alias("i"))))))
+
+    def window(i: Column) -> list[Column]:
+        return [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
+
+    a = a.withColumn(codes, F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.xxhash64(*window(i)), PLACE_BITS).bitwiseOR(i.cast("long"))))))
+    c = F.col(codes)
+
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce(x.bitwiseXOR(y).between(0, MOST_PLACE), F.lit(False))
+
+    likely = F.filter(c, lambda x, i: same(x, F.get(c, i - 1)) | same(x, F.get(c, i + 1)))
+    place = F.transform(likely, lambda x: x.bitwiseAND(F.lit(MOST_PLACE)).cast("int"))
+    a = a.withColumn(grams, F.sort_array(F.transform(place, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("g"), i.alias("i")))))
     g = F.col(grams)
     found = F.transform(g, lambda x, i: F.when((x["g"] == F.get(g, i - 1)["g"]) | (x["g"] == F.get(g, i + 1)["g"]), x["i"]))
     a = a.withColumn(places, F.sort_array(F.array_compact(found)))
@@ -85,7 +102,7 @@ def measure(df: DataFrame, text: str = "text", name: str = "measures") -> DataFr
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
     )
-    return a.withColumn(name, measures).drop(w, grams, places, lines)
+    return a.withColumn(name, measures).drop(w, codes, grams, places, lines)
 
 
 def base_failed(measures: Column) -> Column:

@@ -110,6 +110,13 @@ def test_quality_rules(docs, no_docs, rows):
     assert by_row(kept.select("doc_id", "text")) == sorted(((i, t) for i, t, _ in rows if brute_quality(t)[-1]), key=repr)
 
 
+def test_repeats_are_exact_whatever_the_hash(docs, rows, monkeypatch):
+    monkeypatch.setattr(quality, "PLACE_BITS", 60)  # leaves four bits of the hash
+    monkeypatch.setattr(quality, "MOST_PLACE", (1 << 60) - 1)
+    found = by_row(quality.measure(docs).select("doc_id", "measures.n_repeat_words"))
+    assert found == sorted(((i, brute_quality(t)[4]) for i, t, _ in rows), key=repr)
+
+
 def test_good_prose_is_kept(spark):
     text = " ".join(f"the thing{x} of a place{x} and word{x}" for x in range(30))
     junk = " ".join(f"word{x}$$$ the%%%" for x in range(60))
