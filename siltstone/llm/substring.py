@@ -16,11 +16,15 @@ windows are repeated. Stretches that read alike are combined before they are
 shuffled, as a passage that many documents share gives the same ones again and
 again.
 
-A subtree of more than ``MOST`` suffixes or stretches doesn't fit: its suffixes
-are routed by longer prefixes, of ``PREFIXES`` words each in turn, until every
-part fits. A prefix of the full depth leaves nothing to sort: all its suffixes
-are leaves of one deep node, so they are counted by an aggregate, however many
-there are.
+A subtree of more than ``MOST`` stretches doesn't fit: its suffixes are routed by
+longer prefixes. A stretch is cut into two runs of suffixes, by the gram's offset
+in the window. The prefixes of a run's suffixes are lengthened to the end of its
+first window, so that they end alike in the words that all windows of the run
+share, and those route it. Runs that read alike are combined, as stretches are.
+This is repeated, with runs half as long, until every part fits. Runs of one
+window have prefixes of the full depth, which leave nothing to sort: all suffixes
+of one are leaves of one deep node, so they are counted by an aggregate, however
+many there are.
 
 Documents with equal word sequences are one text here: if there are several,
 each of their windows starts elsewhere. Texts are known by 128 bits of the
@@ -48,10 +52,8 @@ from siltstone.llm.common import SPACE_RUN, Scratch, map_batches, shuffle_partit
 
 WINDOW = 35
 GRAM = 5
-#: Most stretches, or suffixes, of a subtree that is built in one piece: some 10 MB.
+#: Most stretches, or runs, of a subtree that is built in one piece: some 10 MB.
 MOST = 1000
-#: Words of the prefixes that split larger subtrees; the full depth comes after them.
-PREFIXES = (8, 14, 20, 27)
 #: Words of a text that are handled at once; windows belong to the part where they start.
 PART = 4_000_000
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -66,8 +68,8 @@ def text_key(words: Column) -> Column:
     return F.substring(F.unhex(F.sha2(words, 256)), 1, 16)
 
 
-def minimizers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last): stretches of window starts that have the same gram occurrence as minimizer."""
+def minimizers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last, place): stretches of window starts that have the same gram occurrence, at place, as minimizer."""
     found = []
     for base in range(0, max(0, len(words) - window + 1), PART):
         part = words[base : base + PART + window - 1]
@@ -89,9 +91,9 @@ def minimizers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tu
         at = (least & place).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.concatenate((first[1:], [len(at)])) - 1
-        found.append((g[at[first]].view(np.int64), first + base, last + base))
+        found.append((g[at[first]].view(np.int64), first + base, last + base, at[first] + base))
     if not found:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -107,7 +109,7 @@ def scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 for t in text.cast("binary").to_pylist():
                     words = t.split(b" ") if t else []
                     counts.append(len(words))
-                    parts.append(minimizers(words, window, gram))
+                    parts.append(minimizers(words, window, gram)[:3])
                     sizes.append(len(parts[-1][0]))
                 n = len(ids)
                 none = pa.nulls(n, pa.int64())
@@ -169,15 +171,14 @@ def deep_nodes(suffixes: list[tuple[bytes, object]]) -> list[list[object]]:
     return [leaves for leaves in nodes if len(leaves) > 1]
 
 
-_MASK = "h long, id binary, mask long"
+_MASK = "route long, id binary, mask long"
 
 
 def subtrees(rows: DataFrame, window: int) -> DataFrame:
-    """h, id and mask: bit i of mask is set if window i of the stretch is repeated.
+    """route, id and mask: bit i of mask is set if window i of the row is repeated.
 
-    Rows (route, h, id, k, words, several) are clustered by route; ``words``
-    starts at window k of its stretch. ``several`` stretches have several places,
-    so that all their windows are repeated.
+    Rows (route, id, words, several) are clustered by route. ``several`` rows have
+    several places, so that all their windows are repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +188,14 @@ def subtrees(rows: DataFrame, window: int) -> DataFrame:
                     yield from zip(*(c.slice(at, 5000).to_pylist() for c in batch.columns), strict=True)
 
         out = []
-        for _, group in groupby(flat(), key=itemgetter(0)):
-            some = [(h, id_, k, windows_of(words, window), several) for _, h, id_, k, words, several in group]
-            masks = [(1 << len(x[3])) - 1 if x[4] else 0 for x in some]
+        for route, group in groupby(flat(), key=itemgetter(0)):
+            some = [(id_, windows_of(words, window), several) for _, id_, words, several in group]
+            masks = [(1 << len(x[1])) - 1 if x[2] else 0 for x in some]
             if len(some) > 1:
-                for leaves in deep_nodes([(w, (i, j)) for i, x in enumerate(some) for j, w in enumerate(x[3])]):
+                for leaves in deep_nodes([(w, (i, j)) for i, x in enumerate(some) for j, w in enumerate(x[1])]):
                     for i, j in leaves:
                         masks[i] |= 1 << j
-            out += [(x[0], x[1], m << x[2]) for x, m in zip(some, masks, strict=True) if m]
+            out += [(route, x[0], m) for x, m in zip(some, masks, strict=True) if m]
             if len(out) > 20_000:
                 yield told(out)
                 out = []
@@ -202,56 +203,64 @@ def subtrees(rows: DataFrame, window: int) -> DataFrame:
             yield told(out)
 
     def told(out: list[tuple]) -> pa.RecordBatch:
-        h, id_, mask = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(id_, pa.binary()), pa.array(mask, pa.int64())], ["h", "id", "mask"])
+        route, id_, mask = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(id_, pa.binary()), pa.array(mask, pa.int64())], ["route", "id", "mask"])
 
-    clustered = rows.select("route", "h", "id", "k", "words", "several").repartition(shuffle_partitions(rows.sparkSession), "route").sortWithinPartitions("route")
+    clustered = rows.select("route", "id", "words", "several").repartition(shuffle_partitions(rows.sparkSession), "route").sortWithinPartitions("route")
     return map_batches(clustered, run, _MASK)
 
 
-def suffixes_of(types: DataFrame, window: int) -> DataFrame:
-    """The suffixes of each stretch, cut at full depth: h, id, k, words, several."""
+_RUN = "of long, of_id binary, k int, route long, id binary, words binary, several boolean"
+
+
+def runs(rows: DataFrame, window: int, gram: int, width: int) -> DataFrame:
+    """The rows (route, id, words, several), cut where the gram's offset in the window is a multiple of ``width``.
+
+    A run of (of, of_id) starts at window k of it; its route is the digest of
+    the words that all windows with offsets of its block share.
+    """
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+
+    def cut(of: int, of_id: bytes, text: bytes, several: bool) -> Iterator[tuple]:
+        words = text.split(b" ")
+        place, last = int(minimizers(words, window, gram)[3][0]), len(words) - window
+        for low in range((place - last) // width * width, place + 1, width):
+            high = min(low + width - 1, window - gram)
+            k, end = max(0, place - high), min(last, place - low)
+            shared = b" ".join(words[place - low : place - high + window])
+            route = int.from_bytes(blake2b(b"%d %b" % (low, shared), digest_size=8).digest(), "little", signed=True)
+            part = b" ".join(words[k : end + window])
+            yield of, of_id, k, route, blake2b(part, digest_size=16).digest(), part, several
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                found = [(h, id_, k, w, several) for h, id_, words, several in zip(*(c.slice(at, 1000).to_pylist() for c in batch.columns), strict=True) for k, w in enumerate(windows_of(words, window))]
-                h, id_, k, words, several = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(id_, pa.binary()), pa.array(k, pa.int32()), pa.array(words, pa.binary()), pa.array(several, pa.bool_())], ["h", "id", "k", "words", "several"])
-
-    return map_batches(types.select("h", "id", "words", "several"), run, "h long, id binary, k int, words binary, several boolean")
-
-
-def repeated_windows(types: DataFrame, window: int, s: Scratch, most: int = MOST, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
-    """h, id and mask of the stretches (h, id, words, several) that have repeated windows."""
-
-    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of the routes that fit, and of those that don't."""
-        big = s.save(rows.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("route"))
-        return rows.join(big, "route", "left_anti"), rows.join(big, "route", "left_semi")
-
-    fit, rest = parted(types.select(F.col("h").alias("route"), "h", "id", F.lit(0).alias("k"), "words", "several"))
-    found = subtrees(fit, window)
-    parts = []
-    if not rest.isEmpty():
-        rest = s.save(suffixes_of(rest, window))
-        for n in [p for p in prefixes if p < window]:
-            route = F.xxhash64("h", F.substring_index(F.col("words").cast("string"), " ", n))
-            fit, more = parted(rest.withColumn("route", route))
-            parts.append(s.save(subtrees(fit, window)))
-            rest = s.save(more.drop("route"))
-            if rest.isEmpty():
-                break
-        else:
-            # prefixes of full depth: each is the path of a deep node, and its suffixes are the leaves
-            nodes = s.save(rest.groupBy("words").agg(*_places("id", "k"), F.bool_or("several").alias("several")).filter(f"several OR {SEVERAL}").select("words"))
-            parts.append(rest.join(nodes, "words").select("h", "id", F.expr("shiftleft(1L, k)").alias("mask")))
-    if parts:
-        split = parts[0]
-        for x in parts[1:]:
-            split = split.unionByName(x)
-        found = found.unionByName(split.groupBy("h", "id").agg(F.bit_or("mask").alias("mask")))
-    return found
+                found = [x for row in zip(*(c.slice(at, 1000).to_pylist() for c in batch.columns), strict=True) for x in cut(*row)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["of", "of_id", "k", "route", "id", "words", "several"])
+
+    return map_batches(rows.select("route", "id", "words", "several"), run, _RUN)
+
+
+def repeated_windows(rows: DataFrame, window: int, gram: int, s: Scratch, most: int = MOST, width: int = 0) -> DataFrame:
+    """route, id and mask of the rows (route, id, words, several) that have repeated windows.
+
+    A route has each sequence of words once, whose windows have the gram at
+    offsets of one block of ``width``; 0: at any.
+    """
+    width = width or window - gram + 1
+    if width == 1:
+        # prefixes of full depth: each row is the path of a deep node if it has several places, its leaves
+        return rows.filter("several").select("route", "id", F.lit(1).cast("long").alias("mask"))
+    big = s.save(rows.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("route"))
+    found = subtrees(rows.join(big, "route", "left_anti"), window)
+    if big.isEmpty():
+        return found
+    width = 1 << (width - 1).bit_length() - 1
+    parts = s.save(runs(rows.join(big, "route", "left_semi"), window, gram, width))
+    types = s.save(parts.groupBy("route", "id").agg(F.first("words").alias("words"), (F.bool_or("several") | (F.count(F.lit(1)) > 1)).alias("several")))
+    masks = parts.select("of", "of_id", "k", "route", "id").join(repeated_windows(types, window, gram, s, most, width), ["route", "id"])
+    masks = masks.groupBy(F.col("of").alias("route"), F.col("of_id").alias("id")).agg(F.bit_or(F.expr("shiftleft(mask, k)")).alias("mask"))
+    return found.unionByName(masks)
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +283,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int =
     s.drop(grams, table_part=(table, "kind=1"))
     parts = s.save(stretches(texts, window))
     types = s.save(parts.groupBy("h", "id").agg(F.first("words").alias("words"), *_places("key", "first")).select("h", "id", "words", F.expr(SEVERAL).alias("several")))
-    masks = repeated_windows(types, window, s, most)
+    masks = repeated_windows(types.withColumnRenamed("h", "route"), window, gram, s, most).withColumnRenamed("route", "h")
     masks = parts.select("h", "id", "key", "first").join(masks, ["h", "id"]).select("key", "first", "mask")
     masks = s.save(masks.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("marks")))
     s.drop(parts, types)

@@ -398,6 +398,27 @@ def test_substring_dedup(docs, rows, window, most):
     assert by_row(substring.substring_dedup(docs, window, most=most)) == brute_substring(rows, window)
 
 
+def test_substring_of_large_groups(spark, monkeypatch):
+    """Splitting large groups makes no table of more than two rows a stretch."""
+    saved = []
+
+    class Counted(Scratch):
+        def save(self, df, by=None):
+            out = super().save(df, by)
+            saved.append((out.columns, out.count()))
+            return out
+
+    monkeypatch.setattr(substring, "Scratch", Counted)
+    common = [f"c{i}" for i in range(120)]
+    texts = [" ".join([f"x{i}_{k}" for k in range(20)] + common[:60] + [f"y{i}_{k}" for k in range(20)]) for i in range(150)]
+    texts += [" ".join([*common[: i % 120], f"z{i}", *common[i % 120 + 1 :]]) for i in range(150)]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert by_row(substring.substring_dedup(docs, most=20)) == brute_substring(rows, 35)
+    at, stretches = next((i, n) for i, (columns, n) in enumerate(saved) if "first" in columns and "words" in columns)
+    assert max(n for _, n in saved[at:]) <= 2 * stretches
+
+
 def test_deep_nodes():
     found = substring.deep_nodes([(b"b", 1), (b"a", 2), (b"b", 3), (b"c", 4), (b"a", 5), (b"b", 6)])
     assert found == [[2, 5], [1, 3, 6]]
